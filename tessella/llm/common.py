@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows taken out of an Arrow batch at a time, so that few texts are Python objects at once.
 ROWS = 256
+#: Public setting: shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,10 +36,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there and lost executors don't lose it."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: its lineage ends there and lost executors don't lose it.
+    The shuffle files of the query that wrote it go at once, as nothing reads them again."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def raw_text(name: str = "text") -> Column:

@@ -97,7 +97,7 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, hot: int = 1024) -
     key = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for s, w, _ in parts]
     table = fps.select("fp", F.posexplode(F.array(*key)).alias("seg", "key"))
     crowded = stored(table.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key"), "crowded")
-    balls = F.array(*[F.transform(_masks(w, r), lambda m, k=k: k.bitwiseXOR(m)) for k, (_, w, r) in zip(key, parts)])
+    balls = F.array(*[F.transform(_masks(w, r), k.bitwiseXOR) for k, (_, w, r) in zip(key, parts)])
     probes = fps.select("fp", F.posexplode(balls).alias("seg", "keys")).select("fp", "seg", F.explode("keys").alias("key"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     some = not crowded.isEmpty()
