@@ -1,0 +1,52 @@
+"""Read-only guard and lineage, from Catalyst's own plans."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+COMMANDS = re.compile(r"Insert|Delete|Update|Merge|Create|Drop|Alter|Command|SetCatalog|Truncate|Replace|Cache")
+
+
+def _nodes(plan) -> list[str]:
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        out.append(p.nodeName())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def read_only(spark: SparkSession, sql: str) -> bool:
+    """Whether the text parses as one query that changes nothing; nothing is run."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        if "PARSE" in str(e) or "Syntax" in str(e):
+            return False
+        raise
+    return not any(COMMANDS.search(n) for n in _nodes(plan))
+
+
+def lineage(df: DataFrame) -> list[tuple[str, str]]:
+    """(view, column) that the analysed plan reads: attributes that an expression refers to, traced to the relation that holds them."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    out, todo = set(), [plan]
+    while todo:
+        p = todo.pop()
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if p.nodeName() == "LogicalRelation":
+            files = p.relation().location().rootPaths()
+            name = re.sub(r"\.parquet$", "", files.head().getName())
+            columns = p.output()
+            out |= {(name, columns.apply(i).name()) for i in range(columns.size())}
+    return sorted(out)
+
+
+def read_columns(df: DataFrame) -> list[str]:
+    """ReadSchema of each scan of the physical plan: what the query needs of its tables."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"ReadSchema: struct<([^>]*)>", text)
