@@ -1,13 +1,14 @@
 """Passages that repeat across documents, by relative Lempel-Ziv parsing against blocks of all earlier documents.
 
-The reference of a document is every document of a smaller doc_id, cut into blocks of `window` words that begin at every word.
-Parsing is greedy: a factor runs on while the block at its next word is in the reference too; where a factor ends, the blocks that
-straddle its end are looked up for themselves, so no block is missed at a boundary. Factors of `window` or more words are duplicate
-spans.
+The reference of a document is every document of a smaller doc_id. Its blocks are windows of `window` words, and factors are what is
+parsed: the windows that follow each other with one anchor (the smallest GRAM-word hash of a window) with all their words. A
+factor that an earlier document has too, whole, is a duplicate span. Equal windows have equal anchors, so whatever a document
+shares with another lies in factors of the same anchor; only where these differ, at the boundaries of what is shared, are
+windows looked up one by one. So no window is missed, and few are hashed, sent and joined by themselves.
 
-The index is built in steps. Each text's anchors (the smallest GRAM-word hash of each block: blocks that are equal have equal
-anchors) show which anchors two documents share; these fill a bitmap of fixed size, in which other anchors may be met by chance
-but none is lost. Only blocks with an anchor in it are hashed whole (96 bits), and each block's smallest doc_id decides.
+Three steps: anchors that two documents have fill a bitmap of fixed size (others may be met in it by chance, none is lost);
+factors with such anchors are joined to the smallest doc_id that has them; anchors of several different factors fill a second
+bitmap, and the windows under those are joined to the smallest doc_id that has them. Hashes joined are of 96 bits.
 
 Words are what ASCII white space separates. Null texts have no words. A document that repeats its own passage keeps it. Rows of
 one doc_id are judged each by its text and don't make each other's passages duplicates; a row of a null doc_id is neither
@@ -68,8 +69,18 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
-def _bitmap(rows: DataFrame, window: int, bits: int) -> bytes:
-    """Bits of the anchors that two or more doc_ids have: of 2**bits / 8 bytes, whatever the rows."""
+def _bitmap(anchors: DataFrame, bits: int) -> bytes:
+    """Bits of the anchors: 2**bits / 8 bytes, whatever their number."""
+    place = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("place")
+    pages = anchors.select(place).groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros((max(1 << bits >> 15, 1) + 2, 4096), np.uint8)
+    for r in stored(pages, "bitmap").toLocalIterator():
+        out[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.tobytes()
+
+
+def _shared_anchors(rows: DataFrame, window: int) -> DataFrame:
+    """Anchors that two or more doc_ids have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
@@ -78,13 +89,7 @@ def _bitmap(rows: DataFrame, window: int, bits: int) -> bytes:
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, pa.int64())], names=["doc_id", "anchors"])
 
     each = rows.mapInArrow(run, "doc_id long, anchors array<long>").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    place = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("place")
-    pages = shared.select(place).groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    out = np.zeros(max(1 << bits >> 15, 1) + 2, dtype="S4096").view(np.uint8).reshape(-1, 4096)
-    for r in pages.toLocalIterator():
-        out[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
+    return each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
 
 
 #: bitmap_bucket_number counts from 1 for positions over 0, with bit_position (place - 1) % 32768; place 0 is in bucket 0.
@@ -95,34 +100,70 @@ def _inside(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[bucket * 4096 + at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1
 
 
-def duplicate_blocks(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, at: the words at which blocks begin that a smaller doc_id has too."""
-    rows = _keyed(docs, text).where("doc_id is not null")
-    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(rows, window, bits))
+_BASE = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
+_BACK = np.array([pow(int(x), -1, 1 << 64) for x in _BASE], np.uint64)
+
+
+def _runs(windows: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """A hash of each run of windows, from the windows' hashes: differences of sums over powers, moved back to the start."""
+    n = len(windows)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE[key])]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BACK[key])]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(windows * power[:n])])
+    return _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD[2, 63])
+
+
+_NONE = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _factors_of(hashes: np.ndarray, window: int, bitmap: np.ndarray, bits: int, single: bool) -> tuple[np.ndarray, ...]:
+    """at, n (windows), anchor, high, low of the factors whose anchor is in the bitmap, or of their single windows."""
+    if len(hashes) < window:
+        return _NONE
+    anchors = _anchors(hashes, window)
+    starts = np.arange(len(anchors)) if single else np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    ends = np.append(starts[1:], len(anchors))
+    own = _inside(bitmap, anchors[starts], bits)
+    if not own.any():
+        return _NONE
+    starts, ends = starts[own], ends[own]
+    high, low = _sums(hashes, window, 1), _sums(hashes, window, 2)
+    high, low = (high[starts], low[starts]) if single else (_runs(high, starts, ends, 0), _runs(low, starts, ends, 1))
+    return starts.astype(np.int32), (ends - starts).astype(np.int32), anchors[starts].view(np.int64), high.view(np.int64), low.astype(np.uint32).view(np.int32)
+
+
+def _blocks(rows: DataFrame, window: int, bitmap: bytes, bits: int, single: bool) -> DataFrame:
+    """doc_id, text_hash, at, n, anchor, high, low of each factor or window of every row, written to the shared folder."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        there = np.frombuffer(shared.value, np.uint8)
         for part in sliced(batches):
-            at, one, two = [], [], []
-            for raw in part.column(2).to_pylist():
-                hashes = _words(raw)
-                if len(hashes) >= window:
-                    own = np.flatnonzero(_inside(bitmap, _anchors(hashes, window), bits))
-                    high = _sums(hashes, window, 1)[own].view(np.int64)
-                    low = _sums(hashes, window, 2)[own].astype(np.uint32).view(np.int32)
-                else:
-                    own, high, low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-                at.append(own.astype(np.int32))
-                one.append(high)
-                two.append(low)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(at, pa.int32()), _lists(one, pa.int64()), _lists(two, pa.int32())], names=["doc_id", "text_hash", "at", "high", "low"])
-
-    made = rows.mapInArrow(run, "doc_id long, text_hash long, at array<int>, high array<long>, low array<int>").where(F.size("at") > 0)
-    held = stored(made, "blocks")
-    blocks = held.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "high", "low")).alias("b")).select("doc_id", "text_hash", "b.*")
-    # counted per task first, so that a block in a third of all documents is a few rows here
-    first = blocks.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return blocks.join(first, ["high", "low"]).where("first < doc_id").select("doc_id", "text_hash", "at")
+            found = list(zip(*(_factors_of(_words(x), window, there, bits, single) for x in part.column(2).to_pylist())))
+            lists = [_lists(list(x), kind) for x, kind in zip(found, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "text_hash", "at", "n", "anchor", "high", "low"])
+
+    made = rows.mapInArrow(run, "doc_id long, text_hash long, at array<int>, n array<int>, anchor array<long>, high array<long>, low array<int>").where(F.size("at") > 0)
+    held = stored(made, "windows" if single else "factors")
+    return held.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "n", "anchor", "high", "low")).alias("b")).select("doc_id", "text_hash", "b.*")
+
+
+def _later(blocks: DataFrame, first: DataFrame) -> DataFrame:
+    """Blocks that a smaller doc_id has too."""
+    return blocks.join(first, ["high", "low"]).where("first < doc_id").select("doc_id", "text_hash", "at", "n")
+
+
+def duplicate_factors(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, at, n: the words at which runs of n windows begin that a smaller doc_id has too."""
+    rows = _keyed(docs, text).where("doc_id is not null")
+    factors = _blocks(rows, window, _bitmap(_shared_anchors(rows, window), bits), bits, single=False)
+    # counted per task first, so that what a third of all documents have is a few rows here
+    first = stored(factors.groupBy("anchor", "high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "first")
+    whole = stored(_later(factors, first.where("first < last").select("high", "low", "first")), "whole")
+    several = first.groupBy("anchor").count().where("count > 1").select("anchor")
+    windows = _blocks(rows, window, _bitmap(several, bits), bits, single=True)
+    one = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return whole.union(_later(windows, one))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -130,16 +171,16 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def factors(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, ats: the sorted places of its duplicate blocks, by which its factors are covered."""
-    found = duplicate_blocks(docs, window, bits, text)
-    return found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    """doc_id, text_hash, spans: struct(at, n) of its duplicate factors, each of n windows."""
+    found = duplicate_factors(docs, window, bits, text)
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
-def covered(n: int, ats: np.ndarray, window: int) -> np.ndarray:
-    """Whether each of n words is in a block that begins at one of ats: the factors, one after another."""
+def covered(n: int, at: np.ndarray, runs: np.ndarray, window: int) -> np.ndarray:
+    """Whether each of n words lies in a factor that begins at one of `at` and holds so many windows."""
     turns = np.zeros(n + 1, np.int64)
-    np.add.at(turns, ats, 1)
-    np.add.at(turns, ats + window, -1)
+    np.add.at(turns, at, 1)
+    np.add.at(turns, at + runs + window - 1, -1)
     return np.cumsum(turns)[:n] > 0
 
 
@@ -154,15 +195,15 @@ def digests(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str
 
 
 def _removed(docs: DataFrame, window: int, bits: int, text: str, made, name: str) -> DataFrame:
-    found = stored(factors(docs, window, bits, text), "factors")
-    rows = _keyed(docs, text).join(found, ["doc_id", "text_hash"], "left").select("doc_id", "raw", F.coalesce("ats", F.array().cast("array<int>")).alias("ats"))
+    found = stored(factors(docs, window, bits, text), "spans")
+    rows = _keyed(docs, text).join(found, ["doc_id", "text_hash"], "left").select("doc_id", "raw", F.coalesce("spans.at", F.array().cast("array<int>")).alias("at"), F.coalesce("spans.n", F.array().cast("array<int>")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             counts, removed, out = [], [], []
-            for raw, ats in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            for raw, at, n in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
                 words = raw.split()
-                gone = covered(len(words), np.array(ats, np.int64), window) if ats else None
+                gone = covered(len(words), np.array(at, np.int64), np.array(n, np.int64), window) if at else None
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
                 counts.append(len(words))
                 removed.append(len(words) - len(kept))
