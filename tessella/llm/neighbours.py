@@ -4,7 +4,8 @@ With the largest norm L of all vectors, x becomes (x, sqrt(L**2 - |x|**2)) and a
 inner product. Centroids come from balanced k-means over at most SAMPLE vectors (those of the smallest hash of vec_id); their
 number follows the square root of the vectors', up to LISTS. Every vector is indexed: in the list of its nearest centroid, and in
 those of up to REPLICAS further ones that are hardly farther and not nearer to a list it is in already. A query searches a graph of the
-centroids, held in memory, best first, and takes the lists within NEAR times the smallest distance.
+centroids, held in memory, best first, and takes the lists within NEAR times the smallest distance,
+and further ones until they hold READ vectors.
 
 Lists are dealt out in blocks by salted keys, as many as vectors and queries in them ask for, so that copies of one vector fill many
 blocks; each block gives a query's best k, and these meet by query_id. No list or block is capped.
@@ -31,6 +32,8 @@ from .common import sliced, stored
 SAMPLE, LISTS = 16_384, 4_096
 REPLICAS, CLOSE = 4, 1.08
 DEGREE, BEAM, NEAR = 24, 128, 1.16
+#: Vectors that a query reads at least, if there are so many.
+READ = 2_048
 #: Vectors and queries of a block, about.
 VECTORS, QUERIES = 4_096, 1_024
 
@@ -170,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     for r in postings.groupBy("list").count().collect():  # LISTS rows at most
         counts[r["list"]] = r["count"]
     full = spark.sparkContext.broadcast(Index(index.top, index.centroids, index.graph, counts))
-    least = (REPLICAS + 1) * (k + 1)
+    least = max(READ, (REPLICAS + 1) * (k + 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 2048):

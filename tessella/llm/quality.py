@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
         last = i
     got = got.take(pa.array(keep, pa.int64()))
     buckets = [np.array(x, np.int32) for x in got.column("buckets").to_pylist()]
-    stats = np.array(got.column("stats").to_pylist(), np.float32).reshape(len(buckets), -1)
+    stats = np.array(got.column("stats").to_pylist(), np.float32).reshape(len(buckets), len(statistics(b"", [])))
     return train(buckets, stats, np.array(got.column("label").to_pylist(), np.float32))
 
 

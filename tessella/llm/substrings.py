@@ -163,7 +163,8 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP,
     several = first.groupBy("anchor").count().where("count > 1").select("anchor")
     windows = _blocks(rows, window, _bitmap(several, bits), bits, single=True)
     one = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return whole.union(_later(windows, one))
+    # stored, so that the join deals out both sides itself and can split what a frequent window fills
+    return whole.union(_later(windows, stored(one, "one")))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
