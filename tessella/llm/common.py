@@ -48,6 +48,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast, at most.
+BROADCAST = 1 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df to be broadcast if its rows, which are counted, are few; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def raw_text(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b"")).alias("raw")

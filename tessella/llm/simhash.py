@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, sliced, stored
+from .common import bounded, raw_text, sliced, stored
 
 SEED = 42
 BITS = 64
@@ -158,8 +158,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments
 def one_of_each(docs: DataFrame, **kind) -> DataFrame:
     """docs without all but the row of the smallest doc_id of each component; of rows that repeat that doc_id one stays.
     A component of null doc_ids only keeps one row."""
-    found = near_duplicates(docs, **kind)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_id"), "fp").count(), "kept")
-    out = docs.join(kept.select("kept_id").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not kept.groupBy("kept_id").agg(F.sum("count").alias("n")).where("n > 1").isEmpty()
+    found = stored(near_duplicates(docs, **kind), "found")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = stored(found.where(first).groupBy(F.col("doc_id").alias("kept_id")).count(), "kept")
+    gone = found.where(~first).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = stored(gone.join(kept, F.col("gone_id").eqNullSafe(F.col("kept_id")), "left_anti"), "gone")
+    # the texts aren't shuffled while what goes is few; beyond that, both sides are
+    out = docs.join(bounded(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    repeated = not kept.where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id"]) if repeated else out
