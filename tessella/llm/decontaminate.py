@@ -15,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, stored
 from .hof import let
 
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, GRAM = 10, 5
-#: Benchmark rows (kept hashes, windows) that are broadcast; beyond it they are joined by shuffle.
-BROADCAST = 1 << 20
 
 
 def words_of(text: str = "text") -> Column:
@@ -68,20 +67,15 @@ def _windows(context: Column, window: int) -> Column:
     return let(F.split(context, " "), within)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it is small, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, items (item_ids with occurring windows, as sorted strings) of every row."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), words_of().alias("w")).where(F.size("w") > 0)
     items = items.select("item", "w", F.size("w").alias("n"))
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())
     full = items.select("item", F.explode(let(F.col("w"), lambda w: F.when(F.size(w) >= window, F.arrays_zip(_smallest(w, F.size(w), window).alias("h"), _windows_all(w, window).alias("words"))).otherwise(F.array(F.struct(F.xxhash64(F.array_join(w, " ")).alias("h"), F.array_join(w, " ").alias("words")))))).alias("x")).select("item", "x.h", "x.words")
-    full = full.persist()
-    hashes = _bounded(full.select(F.col("h").alias("known")).distinct())
-    windows = _bounded(full.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    full = stored(full, "windows")
+    hashes = bounded(full.select(F.col("h").alias("known")).distinct())
+    windows = bounded(full.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")))
 
     def all_of(w: Column) -> Column:
         n = F.size(w)
@@ -121,5 +115,6 @@ def _windows_all(words: Column, window: int) -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark window."""
     hit = contamination(docs, benchmark, text=text).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    hit = bounded(stored(hit, "hit"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("hit_hash"))
     return docs.join(hit, same, "left_anti")
