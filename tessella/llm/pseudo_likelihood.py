@@ -30,7 +30,7 @@ from .common import raw_text, sliced, stored
 WORDS, HASHED, SIDE = 768, 256, 32
 SIZE = SIDE * SIDE
 REACH, WIDTH = 2, 16
-BATCH, RATE, SEED = 4096, 0.25, 11
+BATCH, RATE, SEED = 8192, 0.25, 11
 #: Numbers in a row of weights, and groups in which tasks' weights are added first.
 CHUNK, GROUPS = 4096, 64
 PLACES = [o for o in range(-REACH, REACH + 1) if o]
@@ -93,18 +93,20 @@ class Network:
 
     def learn(self, near: np.ndarray, ids: np.ndarray, rate: float) -> None:
         """One step on the mean loss of a batch; an embedding moves by its own share's mean."""
+        order = np.argsort(ids, kind="stable")  # a class is then a slice
+        near, ids = near[order], ids[order]
         h = self.hidden(near)
         own, member = ids // SIDE, ids % SIDE
         d = _wrong(h @ self.top, own)
         back = d @ self.top.T
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(SIDE + 1))
+        ends = np.searchsorted(own, np.arange(SIDE + 1))
         for c in range(SIDE):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
+            at = slice(ends[c], ends[c + 1])
+            n = int(ends[c + 1] - ends[c])
+            if n:
                 dc = _wrong(h[at] @ self.member[c], member[at])
                 back[at] += dc @ self.member[c].T
-                self.member[c] -= rate * (h[at].T @ dc) / np.sqrt(len(at) * len(ids) / SIDE)
+                self.member[c] -= rate * (h[at].T @ dc) / float(n * len(ids) / SIDE) ** 0.5
         self.top -= rate * (h.T @ d) / len(ids)
         step = back[:, :-1] * (1 - h[:, :-1] ** 2)
         for o in range(len(PLACES)):
@@ -112,28 +114,34 @@ class Network:
             seen, first = np.unique(near[order, o], return_index=True)
             sums = np.add.reduceat(step[order], first, axis=0)
             sizes = np.diff(np.append(first, len(order)))
-            self.inner[o][seen] -= rate * sums / (sizes[:, None] + 8.0)
+            self.inner[o][seen] -= rate * sums / (sizes[:, None] + 8).astype(np.float32)
+
+
+_ONES = np.ones(SIDE, np.float32)
 
 
 def _logs(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))
+    """Log-softmax at a column of each row; weights stay far from where the clip or float32 would matter."""
+    np.clip(z, -60, 60, out=z)
+    return z[np.arange(len(z)), at] - np.log(np.exp(z) @ _ONES)
 
 
 def _wrong(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+    np.clip(z, -60, 60, out=z)
+    p = np.exp(z, out=z)
+    p /= (p @ _ONES)[:, None]
     p[np.arange(len(z)), at] -= 1
     return p
 
 
 def windows(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbours and id of every word of the texts, and the words of each."""
-    each = [np.fromiter(map(ids.__getitem__, x.lower().split()), np.int32) for x in texts]
-    gap = np.full(REACH, SIZE, np.int32)
+    # 16 bits: numpy sorts such numbers by radix
+    each = [np.fromiter(map(ids.__getitem__, x.lower().split()), np.uint16) for x in texts]
+    gap = np.full(REACH, SIZE, np.uint16)
     line = np.concatenate([gap, *(y for x in each for y in (x, gap))])
     inside = np.flatnonzero(line != SIZE)
-    return np.stack([line[inside + o] for o in PLACES], axis=1) if len(inside) else np.zeros((0, len(PLACES)), np.int32), line[inside], np.array([len(x) for x in each])
+    return np.stack([line[inside + o] for o in PLACES], axis=1) if len(inside) else np.zeros((0, len(PLACES)), np.uint16), line[inside], np.array([len(x) for x in each])
 
 
 def vocabulary(rows: DataFrame) -> tuple[Ids, np.ndarray]:
