@@ -221,9 +221,9 @@ def set_metrics_micro_macro(spark, sf_dir):
 
 
 @query("""with s as (select user_id, avg(value) as mu, stddev_pop(value) as sd from events group by user_id)
-    select e.user_id, count(*) as n, round(avg(value), 4) as trimmed_mean from events e join s on e.user_id = s.user_id where abs(value - mu) <= 3 * sd + 1e-12 group by e.user_id""")
+    select e.user_id, count(*) as n, round(avg(value) + 1e-9, 4) as trimmed_mean from events e join s on e.user_id = s.user_id where abs(value - mu) <= 3 * sd + 1e-12 group by e.user_id""")
 def trimmed_mean_3sigma(spark, sf_dir):
-    return metrics.trimmed(table(spark, sf_dir, "events"), "user_id", "value").withColumn("trimmed_mean", F.round("trimmed_mean", 4))
+    return metrics.trimmed(table(spark, sf_dir, "events"), "user_id", "value").withColumn("trimmed_mean", F.round(F.col("trimmed_mean") + 1e-9, 4))
 
 
 @query()
