@@ -72,5 +72,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+#: DuckDB SQL of the queries whose method finds exactly what plain equality of windows finds.
+OP6_SQL = r"""
+    with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from docs),
+    starts as (select doc_id, w, unnest(range(1, len(w) - 11)) as place from docs),
+    windows as (select doc_id, place, array_to_string(w[place:place + 12], ' ') as body from starts),
+    seen as (select body, min(doc_id) as first_id from windows group by body),
+    later as (select doc_id, place from windows join seen using (body) where first_id < doc_id),
+    gone as (select distinct doc_id, place + step as place from later, range(13) t(step)),
+    kept as (select doc_id, string_agg(word, ' ' order by place) as body, count(*) as n from words anti join gone using (doc_id, place) group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+    from docs d left join kept k on k.doc_id = d.doc_id"""
+OP7_SQL = r"""
+    with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    places as (select item_id, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 8, 2))) as place from items where len(w) > 0),
+    wanted as (select distinct cast(item_id as varchar) as item, n, array_to_string(w[place:place + n - 1], ' ') as body from places),
+    sizes as (select distinct n from wanted),
+    starts as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as place from docs, sizes where len(w) >= n),
+    hits as (select doc_id, place, n, item from (select doc_id, place, n, array_to_string(w[place:place + n - 1], ' ') as body from starts) join wanted using (n, body)),
+    covered as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(place, place + n)) as pos from hits) group by doc_id),
+    met as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hits) group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+      sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs d left join covered c on c.doc_id = d.doc_id left join met m on m.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
