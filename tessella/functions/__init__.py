@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Feature tags and the patterns that give them.
+#: Feature tags and the patterns, on lower-cased SQL, that give them; `ordinary` if none does.
 FEATURES = [
-    ("subquery", r"(?i)\(\s*select\b"), ("cte", r"(?i)^\s*with\b"), ("set_operation", r"(?i)\b(union|intersect|except)\b"),
-    ("window", r"(?i)\bover\s*\("), ("join", r"(?i)\bjoin\b"), ("aggregate", r"(?i)\b(count|sum|avg|min|max)\s*\("), ("wildcard", r"(?i)select\s+\*|\.\*"),
-]
+    ("cte_or_subquery", r"\bwith\b|\(\s*select\b"),
+    ("set_operation", r"\b(?:union(?:\s+all)?|intersect|except)\b"),
+    ("wildcard", r"\b(?:select|,)\s*(?:distinct\s+)?(?:[\w`\"]+\s*\.\s*)?\*"),
+    ("json", r"->|\b(?:jsonb?_(?:each|array_elements|extract)|json_extract)\b"),
+    ("lateral_or_table_function", r"\blateral\b|\b(?:jsonb?_each|unnest|generate_series)\s*\("),
+    ("using_or_natural_join", r"\b(?:using\s*\(|natural\s+(?:left\s+|right\s+|full\s+|inner\s+|cross\s+)?join)\b"),
+    ("schema_qualified", r"\b(?:from|join|update|into)\s+[\w`\"]+\s*\.\s*[\w`\"]+"),
+]
+#: What a checker looks for. An identifier is bare, or in backquotes, brackets or double quotes.
+NAME = r"(?:`[^`]+`|\[[^\]]+\]|\"[^\"]+\"|[\w\.]+)"
+CHECKS = {
+    "join_or_in": rf"(?is)JOIN\s+{NAME}(\s+AS\s+{NAME}){{0,1}}\s+ON(\s+{NAME}\.{NAME}\s*(=\s*{NAME}\.{NAME}(?:\s+OR\s+{NAME}\.{NAME}\s*=\s*{NAME}\.{NAME})+|IN\s+\(.*?\)))",
+    "extreme_subquery": rf"(?is)=\s*\(\s*SELECT\s*(MAX|MIN)\s*\(\s*({NAME})\s*\)\s*FROM\s*({NAME})",
+    "limit_subquery": r"(?is)= (\(SELECT .* LIMIT \d\))",
+    "extreme_with_limit": rf"(?ism)^SELECT[^\(\)]*? ((MIN|MAX)\(\s*{NAME}\s*\)).*?LIMIT 1",
+    "order_by_extreme": rf"(?is)ORDER BY ((MIN|MAX)\(\s*({NAME})\s*\)).*? LIMIT \d+",
+    "qualified_wildcard": rf"(?ism)^SELECT.*? ({NAME}\.\*).*?FROM",
+}
+ORDERED, TOTALS = r"ORDER BY .*?(?<!DESC )LIMIT +\d+;{0,1}", r"SUM\(|COUNT\("
+JOINED_NAMES = r"(?ism)^SELECT.*?\|\| ' ' \|\| .*?FROM"
+YEAR = r"(strftime *\([^\(]*?\) *[>=<]+ *)(\d{4,})"
+QUOTED = r"'[^']*+(?:'|\z)|\"[^\"]*+(?:\"|\z)|`[^`]*+(?:`|\z)|\[[^\]]*+(?:\]|\z)|--[^\n]*+(?:\n|\z)|(?s:/\*.*?(?:\*/|\z))"
 
 
 def normalised(sql: Column) -> Column:
@@ -17,28 +36,135 @@ def normalised(sql: Column) -> Column:
 
 
 def without_quotes(sql: Column) -> Column:
-    """SQL without comments and quoted text."""
-    return F.regexp_replace(sql, r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/", " ")
+    """SQL without comments and quoted text; what isn't closed goes on to the end. A doubled quote ends one text and begins the next."""
+    return F.regexp_replace(sql, QUOTED, " ")
 
 
-def features(sql: Column) -> Column:
-    found = F.array_compact(F.array(*[F.when(sql.rlike(p), F.lit(name)) for name, p in FEATURES]))
+def features(sql: Column, dialect: str = "sqlite") -> Column:
+    """The tags of a query. In SQLite double quotes may be a name or a string, which is a tag too."""
+    low = F.lower(sql)
+    tags = [F.when(low.rlike(p), F.lit(name)) for name, p in FEATURES]
+    if dialect.lower() == "sqlite":
+        tags.append(F.when(F.contains(sql, F.lit('"')), F.lit("sqlite_double_quote_ambiguity")))
+    found = F.array_compact(F.array(*tags))
     return F.when(F.size(found) == 0, F.array(F.lit("ordinary"))).otherwise(found)
 
 
-def difficulty(sql: Column) -> Column:
+def difficulty(sql: Column, tables: Column | None = None) -> Column:
+    """NESTED of several SELECTs or a set operation, NON-NESTED of several tables or a join, else EASY."""
     bare = without_quotes(sql)
-    nested = (F.regexp_count(bare, F.lit(r"(?i)\bselect\b")) > 1) | bare.rlike(r"(?i)\b(union|intersect|except)\b")
-    return F.when(nested, "NESTED").when(bare.rlike(r"(?i)\bjoin\b"), "NON-NESTED").otherwise("EASY")
+    nested = (F.regexp_count(bare, F.lit(r"(?i)\bSELECT\b")) > 1) | bare.rlike(r"(?i)\b(?:INTERSECT|UNION|EXCEPT)\b")
+    joined = bare.rlike(r"(?i)\bJOIN\b")
+    if tables is not None:
+        joined = joined | (F.size(tables) > 1)
+    return F.when(nested, "NESTED").when(joined, "NON-NESTED").otherwise("EASY")
 
 
-def tagged(text: Column, tag: str) -> Column:
-    """What stands between <tag> and </tag>, without a code fence; null if the tag is missing."""
-    inner = F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(inner, r"^\s*```(?:sql)?", ""), r"```\s*$", ""))
-    return F.when(text.rlike(rf"(?s)<{tag}>.*?</{tag}>"), bare)
+def checks(sql: Column) -> dict[str, Column]:
+    """Whether each checker finds what it looks for; an ordered limit that isn't descending counts unless it sums or counts."""
+    found = {name: sql.rlike(pattern) for name, pattern in CHECKS.items()}
+    cut = F.regexp_extract_all(sql, F.lit(ORDERED), F.lit(0))
+    found["order_by_null"] = (F.size(cut) > 0) & ~F.exists(cut, lambda x: x.rlike(TOTALS))
+    return found
+
+
+def separate_names(sql: Column) -> Column:
+    """A select that joins columns into one text gives them one by one."""
+    parts = F.replace(F.replace(sql, F.lit("|| ' ' ||"), F.lit(", ")), F.lit("|| ', ' ||"), F.lit(", "))
+    return F.when(sql.rlike(JOINED_NAMES), parts).otherwise(sql)
 
 
 def quoted_year(sql: Column) -> Column:
-    """strftime(...) compared with a bare number: the number is quoted."""
-    return F.regexp_replace(sql, r"(?i)(strftime\([^)]*\)\s*(?:=|<=|>=|<|>)\s*)(\d+)", "$1'$2'")
+    """strftime(...) compared with a bare number of four digits or more: the number is quoted."""
+    return F.regexp_replace(sql, YEAR, "$1'$2'")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def tagged(text: Column, tag: str) -> Column:
+    """What stands between <tag> and </tag>, without a ```sql fence around it; null if the tag is missing or holds nothing."""
+    pattern = rf"(?s)<{tag}>(.*?)</{tag}>"
+    inner = stripped(F.regexp_extract(text, pattern, 1))
+    bare = stripped(F.when(inner.rlike(r"(?s)^```sql.*```\z"), F.regexp_replace(inner, r"(?s)^```sql|```\z", "")).otherwise(inner))
+    return F.when(text.rlike(pattern) & (bare != ""), bare)
+
+
+def keywords(text: Column) -> Column:
+    """The tagged list of keywords, each trimmed and also cut at blanks, without repetitions and in order; null unless it is a list."""
+    inner = stripped(F.regexp_extract(text, r"(?s)<result>(.*?)</result>", 1))
+    asked = F.from_json(inner, "array<string>", {"allowSingleQuotes": "true"})
+    each = F.transform(asked, stripped)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(each, lambda x: F.concat(F.array(x), F.split(x, " "))))))
+
+
+def selections(text: Column) -> Column:
+    """array of struct(table_name, column_name) that a tagged answer of <table> and <column> elements names."""
+    inner = F.regexp_extract(text, r"(?s)<result>(.*?)</result>", 1)
+    table, column = r"<table\s+table_name\s*=\s*[\"']([^\"']+)[\"'][^>]*>", r"<column\s+column_name\s*=\s*[\"']([^\"']+)[\"']\s*/?>"
+    tables = F.regexp_extract_all(inner, F.lit(rf"(?s){table}.*?</table>"), F.lit(0))
+    return F.flatten(F.transform(tables, lambda t: F.transform(
+        F.regexp_extract_all(F.regexp_replace(t, rf"^{table}", ""), F.lit(column), F.lit(1)),
+        lambda c: F.struct(F.regexp_extract(t, table, 1).alias("table_name"), c.alias("column_name")),
+    )))
+
+
+def plain_description(text: Column) -> Column:
+    """A column's description on one line."""
+    one = F.regexp_replace(F.regexp_replace(text, "[\r\n]", " "), "commonsense evidence:", "")
+    return stripped(F.regexp_replace(one, "  +", " "))
+
+
+def name_pattern(name: Column) -> Column:
+    """A pattern of an identifier, bare or quoted in any of three ways."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.lit("(?:"), quoted, F.lit('|"'), quoted, F.lit('"|`'), quoted, F.lit("`|\\["), quoted, F.lit("\\])"))
+
+
+def names_column(text: Column, table: Column, column: Column) -> Column:
+    """Whether a text refers to table.column, or to table.*."""
+    pattern = F.concat(F.lit(r"(?iU)(?<![\w])"), name_pattern(table), F.lit(r"\s*\.\s*(?:\*|"), name_pattern(column), F.lit(r")(?![\w])"))
+    return F.rlike(text, pattern)
+
+
+def usage(payload: Column) -> Column:
+    """struct(prompt_tokens, completion_tokens, total_tokens) of a JSON record under either of its names: unknown is null, and a
+    total that isn't given is the sum, if both parts are known."""
+
+    def number(*names: str) -> Column:
+        given = F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names])
+        value = F.when(given.rlike(r"^[0-9]+(?:\.[0-9]+)?\z"), F.expr("1.0D") * given.try_cast("double"))
+        return value
+
+    prompt, completion = number("prompt_tokens", "input_tokens"), number("completion_tokens", "output_tokens")
+    total = F.coalesce(number("total_tokens"), prompt + completion)
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"))
+
+
+def query_error(code: Column, state: Column) -> Column:
+    """false of an error that the query itself caused, null of any other."""
+    own = code.isin(1, 19, 20, 23) | F.substring(state, 1, 2).isin("22", "23", "42")  # fixed values
+    return F.when(F.coalesce(own, F.lit(False)), F.lit(False))
+
+
+def failure_reason(status: Column, error: Column) -> Column:
+    """Why a request failed, from its status and the text of its error."""
+    text = F.coalesce(error, F.lit(""))
+    return (
+        F.when(F.contains(text, F.lit("APITimeoutError")), F.lit("timeout"))
+        .when(text.rlike("RateLimitError|limit_requests"), F.lit("rate_limit"))
+        .when(F.contains(text, F.lit("APIConnectionError")), F.lit("connection"))
+        .when(status.isin("parse_rejected", "empty") | (text == ""), status)
+        .otherwise(F.concat_ws(":", status, F.substring_index(text, ":", 1)))
+    )
+
+
+def sample_text(value: Column, kind: str) -> Column:
+    """A sample value as text: bytes as 0x and hex digits."""
+    return F.concat(F.lit("0x"), F.lower(F.hex(value))) if kind == "binary" else value.cast("string")
+
+
+def display(value: Column, most: int = 100) -> Column:
+    """A text to be shown, cut after so many characters."""
+    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit("..."))).otherwise(value)

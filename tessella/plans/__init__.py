@@ -1 +1,3 @@
 """Plans: guards, lineage and the registry of queries."""
+
+from . import registry, reports  # noqa: F401  (they register)

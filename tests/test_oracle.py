@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans.registry import ORACLES, QUERIES
+from tessella.plans.registry import ORACLES, QUERIES  # the package registers all
 from tessella.sources import TABLES
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
