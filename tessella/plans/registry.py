@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import difficulty, features, normalised, quoted_year, tagged, without_quotes
+from ..functions import tagged
 from ..functions.ddl import ParseDdl
 from ..operators import catalog, compare, events, metrics, profile, vectors, vote
 from ..operators.ranks import global_rank
@@ -314,31 +314,6 @@ def value_linker_threshold(spark, sf_dir):
     return found.groupBy("query_id", "label").agg(F.round(F.min("score"), 5).alias("distance"), (F.min("score") < 0.7).alias("linked"))
 
 
-_SQLS = [
-    "SELECT a, b FROM t", "select  A,B  from T", "SELECT * FROM t JOIN u ON t.id = u.id", "SELECT count(*) FROM (SELECT x FROM t) s", "WITH c AS (SELECT 1) SELECT * FROM c",
-    "SELECT x FROM t UNION SELECT 'join' FROM u", "SELECT sum(x) OVER (PARTITION BY y) FROM t", "SELECT n FROM t WHERE strftime('%Y', d) = 2020",
-]
-_LIT = "(values " + ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(_SQLS)) + ") v(id, s)"
-
-
-def _sqls(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_SQLS)), "id int, s string")
-
-
-_BARE = "regexp_replace(s, '''(?:[^'']|'''')*''', ' ', 'g')"
-
-
-@query(f"""select cast(id as int) as id, lower(trim(regexp_replace(s, '\\s+', ' ', 'g'))) as normal, case when len(regexp_extract_all(lower({_BARE}), '\\bselect\\b')) > 1 or regexp_matches(lower({_BARE}), '\\b(union|intersect|except)\\b') then 'NESTED'
-    when regexp_matches(lower({_BARE}), '\\bjoin\\b') then 'NON-NESTED' else 'EASY' end as difficulty, regexp_replace(s, '(strftime\\([^)]*\\)\\s*=\\s*)(\\d+)', '\\1''\\2''') as fixed from {_LIT}""")
-def sql_difficulty_label(spark, sf_dir):
-    return _sqls(spark).select("id", normalised(F.col("s")).alias("normal"), difficulty(F.col("s")).alias("difficulty"), quoted_year(F.col("s")).alias("fixed"))
-
-
-@query()
-def sql_feature_tags(spark, sf_dir):
-    return _sqls(spark).select("id", F.explode(features(F.col("s"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-
-
 _COLUMNS = [("a", "id", True), ("a", "name", False), ("a", "b_id", False), ("b", "id", True), ("b", "v", False), ("c", "ID", True), ("c", "V", False), ("d", "x", True)]
 _FKS = [("a", "b_id", "b", "id"), ("b", "v", "z", "id"), ("c", "V", "a", "id")]
 _PICKED = [("a", "name"), ("a", "b_id"), ("b", "v"), ("b", "id"), ("d", "x")]
@@ -431,8 +406,3 @@ def read_only_guard(spark, sf_dir):
 def tagged_sql_extract(spark, sf_dir):
     wrapped = F.concat(F.lit("noise <result>```sql SELECT "), F.col("conv_id").cast("string"), F.lit("```</result> tail"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tagged(wrapped, "result").alias("answer"))
-
-
-@query(f"select cast(id as int) as id, {_BARE} as bare from {_LIT}")
-def sql_without_quotes(spark, sf_dir):
-    return _sqls(spark).select("id", without_quotes(F.col("s")).alias("bare"))
