@@ -122,6 +122,108 @@ TEXTS = {
     "tagged_answer_extract": """
         select conv_id, turn, {regexp_extract(concat('<result>', text, '</result>'), '(?s)<result>(.*?)</result>', 1)|regexp_extract('<result>' || text || '</result>', '(?s)<result>(.*?)</result>', 1)} as answer
         from conversations""",
+    "effective_latest_usage": """
+        select event_type, count(*) as retained, cast(sum(k) as bigint) as known_tokens, cast(count(*) - count(k) as bigint) as missing, count(k) = count(*) as complete from (
+          select event_type, case when event_id % 9 <> 0 then cast({get_json_object(props, '$.k')|json_extract_string(props, '$.k')} as bigint) end as k,
+            row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events where event_type <> 'error') x
+        where r = 1 group by event_type""",
+    "sampling_completeness": """
+        select user_id, cast(sum(case when event_type = 'view' then 1 else 0 end) as bigint) as target, cast(sum(case when event_type = 'click' then 1 else 0 end) as bigint) as succeeded,
+          sum(case when event_type = 'view' then 1 else 0 end) = sum(case when event_type = 'click' then 1 else 0 end) as complete from events group by user_id""",
+    "conflicting_signatures": """
+        select l_partkey, count(*) as attempts, count(distinct l_suppkey) as signatures, count(distinct l_suppkey) > 1 as conflict from lineitem group by l_partkey""",
+    "byte_totals": "select source, cast(coalesce(sum({octet_length(text)|octet_length(encode(text))}), 0) as bigint) as n_bytes, count(*) as n from documents group by source",
+    "latency_stats": """
+        select o_orderpriority, count(*) as finished, round(cast(sum(days) as double), 3) as total, round(avg(days), 6) as mean, max(days) as longest from (
+          select o.o_orderkey, o.o_orderpriority, max({datediff(l.l_shipdate, o.o_orderdate)|datediff('day', o.o_orderdate, l.l_shipdate)}) as days
+          from orders o join lineitem l on l.l_orderkey = o.o_orderkey group by o.o_orderkey, o.o_orderpriority) x group by o_orderpriority""",
+    "dictionary_statistics": """
+        select column_name, count(*) as documents, cast(sum(length(value)) as bigint) as characters, count(*) filter (where length(value) > 10) as long_values from (
+          select distinct 'p_name' as column_name, p_name as value from part union select distinct 'c_mktsegment', c_mktsegment from customer union select distinct 'p_type', p_type from part) v
+        where value is not null group by column_name""",
+    "mixed_pair_totals": """
+        select coalesce(lang, 'TOTAL') as grp, count(*) as pairs, count(*) filter (where gain) as gain, count(*) filter (where loss) as loss, count(*) filter (where gain) - count(*) filter (where loss) as net from (
+          select d.lang, l.quality = 0 and l.toxic = 0 as gain, l.quality = 1 and l.toxic = 1 as loss from documents d join labels l on l.doc_id = d.doc_id where l.quality <> 1 - l.toxic) x group by rollup(lang)""",
+    "few_shot_inspection": """
+        select label, count(*) as n, min(vec_id) as low, round(avg(vec_id), 6) as mean, round({percentile(vec_id, 0.5)|quantile_cont(vec_id, 0.5)}, 6) as p50,
+          round({percentile(vec_id, 0.9)|quantile_cont(vec_id, 0.9)}, 6) as p90, max(vec_id) as high, round(1.0 * count(*) / sum(count(*)) over (), 6) as share from embeddings group by label""",
+    "revision_vote": """
+        select o_custkey, answer, votes from (
+          select o_custkey, o_orderpriority as answer, count(*) as votes, row_number() over (partition by o_custkey order by count(*) desc, min(o_orderkey)) as r from orders group by o_custkey, o_orderpriority) x where r = 1""",
+    "selection_branches": """
+        select case when n_known is null or n_known = 0 then 'fallback' when n_known = 1 then 'single' when top >= 0.6 * n_known then 'consistency_shortcut' else 'pairwise_comparison' end as branch, count(*) as n from (
+          select o_custkey, cast(sum(n) as bigint) as n_known, max(n) as top from (
+            select o_custkey, o_orderpriority, count(*) as n from orders where o_orderstatus <> 'F' group by o_custkey, o_orderpriority) a group by o_custkey) b group by 1""",
+    "paired_evaluation_report": """
+        select d.source, count(*) as items, count(*) filter (where l.quality = 0 and l.toxic = 0) as repair, count(*) filter (where l.quality = 1 and l.toxic = 1) as harm,
+          count(*) filter (where l.quality = 1 and l.toxic = 0) as unchanged_correct, count(*) filter (where l.quality = 0 and l.toxic = 1) as unchanged_incorrect,
+          count(*) filter (where l.quality is null or l.toxic is null) as unknown from documents d left join labels l on l.doc_id = d.doc_id group by d.source""",
+    "sampling_sensitivity": """
+        select subset, d.lang, count(*) as n, count(*) filter (where l.quality = 1) as matched from documents d join labels l on l.doc_id = d.doc_id
+          join (select 'complete_active' as subset union all select 'same_budget_active') s on (subset = 'complete_active' and d.n_chars > 200) or (subset = 'same_budget_active' and d.n_chars between 200 and 2000)
+        group by subset, d.lang""",
+    "schema_reduction_macro": """
+        select round(avg(1.0 * (full_n - kept_n) / full_n), 6) as mean_reduction, count(*) as successes from (
+          select o_orderkey, count(*) as full_n, count(*) filter (where l_discount > 0.04) as kept_n from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey) x where kept_n > 0""",
+    "linking_recall": """
+        select item, round(1.0 * hits / greatest(gold, 1), 6) as recall, gold from (
+          select g.o_custkey as item, count(*) as gold, count(f.k) as hits from (select distinct o_custkey, o_orderpriority as k from orders) g
+            left join (select distinct o_custkey, o_orderpriority as k from orders where o_orderstatus = 'O') f on f.o_custkey = g.o_custkey and f.k = g.k group by g.o_custkey) x""",
+    "linked_set_union": """
+        select item, {array_join(array_sort(collect_set(k)), ',')|string_agg(distinct k, ',' order by k)} as linked from (
+          select o_custkey as item, o_orderpriority as k from orders where o_orderstatus = 'O' union all select o_custkey, o_orderstatus from orders) x group by item""",
+    "parser_agreement": """
+        select case when l.doc_id is null then 'missing' when d.n_chars = 0 then 'empty' else 'compared' end as reason, count(*) as n,
+          count(*) filter (where l.quality = 1 - l.toxic) as exact from documents d left join labels l on l.doc_id = d.doc_id group by 1""",
+    "stage_token_pairs": """
+        select coalesce(exclusion, 'eligible') as state, count(*) as n, cast(sum(case when exclusion is null then a - b end) as bigint) as saved from (
+          select l_orderkey, sum(case when l_linenumber = 1 then l_partkey end) as a, sum(case when l_linenumber = 2 then l_partkey end) as b,
+            case when count(case when l_linenumber = 1 then 1 end) = 0 then 'no_native' when count(case when l_linenumber = 2 then 1 end) = 0 then 'no_variant' end as exclusion
+          from lineitem group by l_orderkey) x group by 1""",
+    "api_trace_fold": """
+        select user_id, count(*) filter (where event_type = 'view') as requests, count(*) filter (where event_type = 'click') as responses, count(*) filter (where event_type = 'error') as errors,
+          min(event_id) as first_event, max(event_id) as last_event from events group by user_id""",
+    "monitoring_counts": "select event_type, count(*) as n, max(event_id) as next_cursor from events where event_id > 500 group by event_type",
+    "incremental_cursor_scan": """
+        select event_id, user_id from events where event_id > 900 and user_id in (select user_id from events where event_type = 'error' and event_id > 900 union select user_id from events where event_type = 'signup' and event_id > 950)""",
+    "independent_examples": """
+        select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents
+          where source <> (select min(source) from documents) and doc_id not in (select doc_id from labels where toxic = 1)) x where r = 1""",
+    "reuse_predicate": """
+        select a.conv_id, a.turn from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn and b.text = a.text and b.role is not distinct from a.role
+        where a.text is not null and length(a.text) > 0 and a.role = 'user'""",
+    "progressive_stripping": """
+        select doc_id, case when length(text) / 4.0 <= 100 then 0 when length(text) / 8.0 <= 100 then 1 when length(text) / 16.0 <= 100 then 2 when length(text) / 64.0 <= 100 then 3 else 4 end as level from documents""",
+    "profile_first_rows": "select count(o_totalprice) as total_count, count(distinct o_custkey) as distinct_count, cast(count(*) - count(o_totalprice) as bigint) as null_count from (select * from orders order by o_orderkey limit 100000) x",
+    "line_multiset_equal": """
+        select doc_id, count(*) over (partition by md5({array_join(array_sort(split(text, '\\n')), chr(10))|array_to_string(list_sort(string_split(text, chr(10))), chr(10))})) as peers from documents""",
+    "null_safe_comparison": """
+        select d.lang, count(*) filter (where l.quality is distinct from l.toxic) as differing, count(*) filter (where l.quality is not distinct from l.toxic) as equal_or_both_null
+        from documents d left join labels l on l.doc_id = d.doc_id group by d.lang""",
+    "first_row_of_each": "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) x where r = 1",
+    "series_left_join": """
+        select s.day, count(e.event_id) as n from (select {explode(sequence(1, 31))|unnest(range(1, 32))} as day) s left join events e on extract(day from e.ts) = s.day group by s.day""",
+    "date_parts": """
+        select extract(year from o_orderdate) as y, extract(quarter from o_orderdate) as q, count(*) as n, cast(min(date_trunc('month', o_orderdate)) as date) as first_month,
+          cast(max(o_orderdate + interval '30' day) as date) as due, count(distinct {date_format(o_orderdate, 'yyyy-MM')|strftime(o_orderdate, '%Y-%m')}) as months from orders group by 1, 2""",
+    "values_root": "select col1 as id, col2 as name from (values (1, 'a'), (2, 'b'), (3, null)) v(col1, col2)",
+    "join_using": "select n_name, count(*) as n from (select n_nationkey as k, n_name from nation) a join (select c_nationkey as k, c_custkey from customer) b using (k) group by n_name",
+    "natural_join": "select k, n_name, r_name from (select n_regionkey as k, n_name from nation) a natural join (select r_regionkey as k, r_name from region) b",
+    "correlated_scalar": "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as dearest from customer",
+    "correlated_exists_not": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000)",
+    "windows_of_each": """
+        select o_orderkey, cast(rank() over w as int) as place, lag(o_orderkey) over w as previous, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 1 preceding and current row), 2) as two
+        from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""",
+    "having_case_cast": """
+        select case when p_size < 10 then 'small' when p_size < 30 then 'middle' else 'large' end as size_class, cast(avg(p_retailprice) as decimal(12, 2)) as price, count(*) as n
+        from part group by 1 having count(*) > 5""",
+    "market_share": """
+        select extract(year from o_orderdate) as y, round(sum(case when n_name = 'NATION_1' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as share
+        from lineitem join orders on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1""",
+    "top_customers": """
+        select c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey
+        where l_returnflag = 'R' group by c_custkey, c_name order by revenue desc, c_custkey limit 20""",
+    "forecast_revenue": "select round(sum(l_extendedprice * l_discount), 2) as revenue from lineitem where l_shipdate >= timestamp '1994-01-01' and l_shipdate < timestamp '1997-01-01' and l_discount between 0.03 and 0.07 and l_quantity < 24",
     "synthetic_point_lookup": "select id, group_id, category, amount, payload from records where id = 12345",
     "synthetic_group_agg": "select group_id, count(*) as n, round(sum(amount), 3) as total from records where group_id = 42 group by group_id",
     "synthetic_range_sum": "select round(sum(amount), 3) as total, count(*) as n from records where id between 1000 and 5000",
