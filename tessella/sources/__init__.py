@@ -32,7 +32,7 @@ def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     """Column descriptions from CSV files with a header, named by file: table_name and the header's columns, trimmed."""
     from pyspark.sql import functions as F
 
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", "\"").csv(path).select("*", F.col("_metadata.file_name").alias("file_name"))
     cells = [F.trim(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿")) for c in rows.columns if c != "file_name"]
     return rows.select(F.regexp_replace("file_name", r"\.csv$", "").alias("table_name"), *cells)
 
