@@ -32,3 +32,10 @@ def scored(queries: DataFrame, rows: DataFrame, score: Column) -> DataFrame:
 def top(found: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     """The first k of each query; ranks are total orders."""
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def merged(found: DataFrame, lookup: list[str], value: str, distance: str, k: int) -> DataFrame:
+    """The k nearest distinct values of each lookup, merged over its queries: a value counts once, at its least distance."""
+    best = found.groupBy(*lookup, value).agg(F.min(distance).alias(distance))
+    w = Window.partitionBy(*lookup).orderBy(distance, value)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tagged
 from ..functions.ddl import ParseDdl
-from ..operators import catalog, compare, events, metrics, profile, vectors, vote
+from ..operators import catalog, compare, events, metrics, profile, schema_text, vectors, vote
 from ..operators.ranks import global_rank
 from ..sources import table, views
 from ..streaming import first_seen, windowed
@@ -314,6 +314,13 @@ def value_linker_threshold(spark, sf_dir):
     return found.groupBy("query_id", "label").agg(F.round(F.min("score"), 5).alias("distance"), (F.min("score") < 0.7).alias("linked"))
 
 
+@query(f"select label, value, round(distance, 5) as distance, cast(rank as int) as rank from (select *, row_number() over (partition by label order by distance, value) as rank from (select e.label, e.vec_id % 50 as value, min(round(1 - {_KNN}, 6)) as distance from embeddings e, {_ASK} q where e.vec_id <> q.query_id group by 1, 2)) where rank <= 5")
+def knn_join_merge_dedupe(spark, sf_dir):
+    q, e = _asked(spark, sf_dir)
+    found = vectors.scored(q, e, F.round(1 - vectors.cosine(F.col("embedding"), F.col("qv")), 6)).where("vec_id <> query_id").select("label", (F.col("vec_id") % 50).alias("value"), F.col("score").alias("distance"))
+    return vectors.merged(found, ["label"], "value", "distance", 5).withColumn("distance", F.round("distance", 5))
+
+
 _COLUMNS = [("a", "id", True), ("a", "name", False), ("a", "b_id", False), ("b", "id", True), ("b", "v", False), ("c", "ID", True), ("c", "V", False), ("d", "x", True)]
 _FKS = [("a", "b_id", "b", "id"), ("b", "v", "z", "id"), ("c", "V", "a", "id")]
 _PICKED = [("a", "name"), ("a", "b_id"), ("b", "v"), ("b", "id"), ("d", "x")]
@@ -406,3 +413,34 @@ def read_only_guard(spark, sf_dir):
 def tagged_sql_extract(spark, sf_dir):
     wrapped = F.concat(F.lit("noise <result>```sql SELECT "), F.col("conv_id").cast("string"), F.lit("```</result> tail"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tagged(wrapped, "result").alias("answer"))
+
+
+_PROFILE = """Database ID: `a`
+Schema:
+- Table: `s`
+[
+(`id`: int | Primary Key | the key | Value Statistics: 0 NULL values, 2 distinct values, 2 total values | Value Examples: ['1', '2']),
+(`t_id`: int)
+]
+- Table: `t`
+[
+(`id`: int | Primary Key)
+]
+  [Note: The following 1 tables have IDENTICAL schema structure as `t` above:
+  `u`
+  You can query any of these tables using the same column structure.]
+
+Foreign Keys:
+`s`.`t_id` = `t`.`id`"""
+
+
+@query("select 'a' as db_id, cast(lvl as int) as level, profile from (values (0, 100, '" + _PROFILE.replace("'", "''") + "'), (1, 85, '" + _PROFILE.replace(" | Value Statistics: 0 NULL values, 2 distinct values, 2 total values | Value Examples: ['1', '2']", "").replace("'", "''") + "'), (4, 10, null)) v(lvl, budget, profile)")
+def schema_profile_levels(spark, sf_dir):
+    names = "db_id string, table_name string, ordinal int, column_name string, data_type string, is_pk boolean, description string, null_count int, distinct_count int, total_count int, value_examples array<string>"
+    rows = [
+        ("a", "s", 0, "t_id", "int", False, None, None, None, None, None), ("a", "s", 1, "id", "int", True, "the key", 0, 2, 2, ["1", "2"]), ("a", "s", 2, "old", "int", False, "Value Description: unuseful", None, None, None, None),
+        ("a", "t", 0, "id", "int", True, "", None, None, None, []), ("a", "u", 0, "ID", "int", True, None, None, None, None, None),
+    ]
+    fks = spark.createDataFrame([("a", "s", "t_id", "t", "id"), ("a", "s", "old", "t", "id"), ("a", "s", "id", "z", "id")], "db_id string, table_name string, column_name string, ref_table string, ref_column string")
+    columns = spark.createDataFrame(rows, names)
+    return profile.union_all([schema_text.fitting(columns, fks, most) for most in (110, 90, 10)])
