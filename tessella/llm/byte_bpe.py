@@ -27,6 +27,8 @@ FIRST = 256
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space after a blank, or doubled: such texts are split by the pattern as a whole.
 UNEVEN = regex.compile(rf"(?:^| )[{SPACE}]| $")
+#: Marks of chunks met before; two chunks may share one, which only holds a chunk earlier.
+MARKS = 1 << 22
 _TO_CHARS = {b: FIRST + b for b in range(256)}
 
 
@@ -65,7 +67,8 @@ def model(vocabulary: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe(dict):
-    """From a chunk of text, a blank before it if that belongs to it, to its packed ids, found when first asked for."""
+    """From a chunk of text, a blank before it if that belongs to it, to its packed ids. Chunks are held from the second time
+    they are met, by a table of marks, so that the many that are met once take no memory."""
 
     def __init__(self, path: str, pattern: str, cap: int = 500_000):
         import sentencepiece
@@ -78,14 +81,18 @@ class ByteBpe(dict):
         self.text = {i: b"%d" % i for i in self.bytes}
         self.own = sentencepiece.SentencePieceProcessor(model_proto=model(vocabulary))
         self.split = regex.compile(pattern).findall
-        self.cap, self.old = cap, {}
+        self.cap, self.old, self.met = cap, {}, bytearray(MARKS)
 
     def __missing__(self, chunk: str) -> bytes:
         if (ids := self.old.get(chunk)) is None:
             pieces = [x.encode().decode("latin-1").translate(_TO_CHARS) for x in self.split(chunk)]
             ids = b"".join(self.numbers[self.own.encode(x)].tobytes() for x in pieces)
+        mark = hash(chunk) % MARKS
+        if not self.met[mark]:
+            self.met[mark] = 1
+            return ids
         if len(self) >= self.cap:
-            self.old = dict(self)
+            self.old, self.met = dict(self), bytearray(MARKS)
             self.clear()
         self[chunk] = ids
         return ids
