@@ -48,13 +48,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a side that is broadcast, at most.
-BROADCAST = 1 << 20
+#: Rows of a side that is broadcast, at most; rows of one long each, which take about 100 bytes in a task's table.
+BROADCAST, IDS = 1 << 20, 1 << 21
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
     """df to be broadcast if its rows, which are counted, are few; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def raw_text(name: str = "text") -> Column:

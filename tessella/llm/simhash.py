@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, raw_text, sliced, stored
+from .common import IDS, bounded, raw_text, sliced, stored
 
 SEED = 42
 BITS = 64
@@ -164,6 +164,6 @@ def one_of_each(docs: DataFrame, **kind) -> DataFrame:
     gone = found.where(~first).select(F.col("doc_id").alias("gone_id")).distinct()
     gone = stored(gone.join(kept, F.col("gone_id").eqNullSafe(F.col("kept_id")), "left_anti"), "gone")
     # the texts aren't shuffled while what goes is few; beyond that, both sides are
-    out = docs.join(bounded(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    out = docs.join(bounded(gone, IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
     repeated = not kept.where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id"]) if repeated else out
