@@ -11,7 +11,7 @@ from . import json_array, json_lines, metadata_csv, unique
 #: Words for true and false, and where the SQL of a reference answer stands.
 TRUE, FALSE = ["true", "1", "yes", "y"], ["false", "0", "no", "n"]
 SECTIONS = [("column_name", "Expanded Column Name: "), ("column_description", "Column Description: "), ("value_description", "Value Description: ")]
-SQL_FIELDS = {"bird": ["SQL", "sql"], "spider": ["query", "sql"], "bird_interact": ["sol_sql"]}
+SQL_FIELDS = ("SQL", "sql"), ("query", "sql"), ("sol_sql",)
 
 
 def json_records(spark: SparkSession, path: str, schema: str, key: list[str] | None = None) -> DataFrame:
@@ -95,13 +95,13 @@ def cloud_tables(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.trim("table_name").alias("table_name"), _dotted(F.col("table_fullname")).alias("table_fullname"), F.explode(whole).alias("c")).select("table_name", "table_fullname", "c.*")
 
 
-def references(bindings: DataFrame, records: DataFrame, benchmark: str) -> DataFrame:
+def references(bindings: DataFrame, records: DataFrame, fields: tuple[str, ...] = SQL_FIELDS[2]) -> DataFrame:
     """bindings (task_key, external_id, database_id) with status and sql of the one record (external_id, database_id, record: a map
     of fields to JSON or text) that answers each. Records that want a set-up or a clean-up are refused."""
     r = records.select("external_id", F.col("database_id").alias("found_id"), "record")
     counted = r.groupBy("external_id").agg(F.count("*").alias("n"), F.min_by(F.struct("found_id", "record"), "found_id").alias("r"))
     both = bindings.join(counted, "external_id", "left")
-    given = [F.when(~F.coalesce(F.element_at("r.record", f), F.lit("")).isin("", "[]"), F.element_at("r.record", f)) for f in SQL_FIELDS.get(benchmark, ["sol_sql"])]
+    given = [F.when(~F.coalesce(F.element_at("r.record", f), F.lit("")).isin("", "[]"), F.element_at("r.record", f)) for f in fields]
     listed = F.from_json(F.coalesce(*given), "array<string>")
     sql = F.when(F.coalesce(*given).startswith("["), F.when(F.size(listed) == 1, listed[0])).otherwise(F.coalesce(*given))
     needs = F.exists(F.map_entries("r.record"), lambda e: ~F.coalesce(e["value"], F.lit("")).isin("", "[]", "{}", "null", "false", "0") & F.replace(F.lower(e["key"]), F.lit("_"), F.lit("")).rlike("preprocess|cleanup|^presql$|^postsql$"))

@@ -66,7 +66,7 @@ def test_references(spark):
         [("0", "d", {"sol_sql": '["select 1"]'}), ("1", "d", {"sol_sql": '["a", "b"]'}), ("2", "e", {"sol_sql": "select 2"}), ("3", "d", {"sol_sql": "x", "Clean_Up_sql": '["drop"]'}), ("4", "d", {}), ("4", "d", {}), ("5", "d", {"sol_sql": "select 5", "preprocess_sql": "[]"})],
         "external_id string, database_id string, record map<string,string>",
     )
-    got = [(s, q) for _, _, s, q in rows(catalogs.references(bindings, records, "bird_interact"))]
+    got = [(s, q) for _, _, s, q in rows(catalogs.references(bindings, records))]
     assert got == [("available", "select 1"), ("invalid_reference_sql", None), ("reference_database_mismatch", None), ("unsupported_reference_setup", None), ("duplicate_reference", None), ("available", "select 5"), ("missing_reference", None)]
 
 
