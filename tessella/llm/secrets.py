@@ -1,10 +1,12 @@
 """Secrets in texts: three base patterns, and strings that a battery of randomness tests finds; DataFrame functions only.
 
-A candidate is a run of 20 or more characters of the base64 alphabets. Its encoding (hex, base32, lower-case and digits,
+A candidate is a run of 20 or more characters of the base64 alphabets, which ends at a '=' that it is padded by; where a run mixes both
+alphabets' signs, its pieces between the signs of either one are. Its encoding (hex, base32, lower-case and digits,
 letters, letters and digits, base64) gives the alphabet. Tests of uniform use: chi-squared over the alphabet, runs above and
 below its middle, serial correlation at lag 1. A candidate that none rejects at LEVEL is random-looking; how surely it
 isn't prose is the probability that prose letters, whose chance of meeting is PROSE, give a chi-squared that small at that
-length. Over all candidates of the corpus, by octave of length, Benjamini-Hochberg at FALSE bounds the share of
+length. Hex has too few letters for that: there it is (a bound of) the probability that names and numbers, which go from letter to digit
+or back with chance TURN, do so that often. Over all candidates of the corpus, by octave of length, Benjamini-Hochberg at FALSE bounds the share of
 false discoveries; the ranks come from a histogram of bounded size.
 
 Spans are kind:start:end in code points, end exclusive. Null texts are empty and have none. Each row is judged by itself but
@@ -28,7 +30,9 @@ BASE = [
     ("hex", r"[0-9a-f]{16,}", 16, 0),
 ]
 KINDS = [k for k, *_ in BASE] + ["random"]
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}=*"
+#: What is looked for in a candidate that no alphabet fits.
+PIECES = [r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9+/]{20,}=*"]
 #: Fixed alphabets, in the order in which they are tried.
 DIGITS, UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -36,7 +40,7 @@ ALPHABETS = [
     (r"[0-9A-F]+", DIGITS + "ABCDEF"), (r"[0-9a-f]+", DIGITS + "abcdef"), (r"[A-Z2-7]+", UPPER + "234567"), (r"[0-9a-z]+", DIGITS + LOWER),
     (r"[A-Za-z]+", UPPER + LOWER), (r"[0-9A-Za-z]+", DIGITS + UPPER + LOWER), (r"[0-9A-Za-z+/]+", UPPER + LOWER + DIGITS + "+/"), (r"[0-9A-Za-z_-]+", UPPER + LOWER + DIGITS + "-_"),
 ]
-PROSE, LEVEL_Z, FALSE = 0.066, 3.29, 0.01
+PROSE, TURN, LEVEL_Z, FALSE = 0.066, 0.1, 3.29, 0.01
 #: Histogram of -ln p: bins a unit, and the last bin.
 BINS, TOP = 4, 400
 SPAN = "struct<at:bigint,kind:int,to:bigint,body:string>"
@@ -83,6 +87,13 @@ def _candidates(text: Column) -> Column:
             alphabet = F.when(body.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
         return F.struct(x["at"].alias("at"), x["to"].alias("to"), body.alias("body"), alphabet.alias("alphabet"))
 
+    def cut(x: Column) -> Column:
+        """The candidate, or its pieces if it mixes alphabets."""
+        mixed = x["body"].rlike("[+/]") & x["body"].rlike("[_-]")
+        moved = lambda y: F.struct((x["at"] + y["at"]).alias("at"), y["kind"].alias("kind"), (x["at"] + y["to"]).alias("to"), y["body"].alias("body"))
+        parts = F.concat(*[F.transform(_matches(x["body"], p, len(BASE)), moved) for p in PIECES])
+        return F.when(mixed, parts).otherwise(F.array(x))
+
     def placed(x: Column) -> Column:
         signs = F.split(x["body"], "")
         number = F.transform(signs, lambda c: F.position(c, x["alphabet"]) - 1)
@@ -95,10 +106,12 @@ def _candidates(text: Column) -> Column:
         n1 = F.size(F.filter(high, lambda h: h)).cast("double")
         tail, rest = F.slice(x["x"], F.lit(2), F.size(x["x"]) - 1), F.slice(high, F.lit(2), F.size(high) - 1)
         changes = F.size(F.filter(F.zip_with(F.slice(high, F.lit(1), F.size(high) - 1), rest, lambda a, b: a != b), lambda d: d))
+        digit = F.transform(x["x"], lambda v: v < len(DIGITS))
+        turns = F.size(F.filter(F.zip_with(F.slice(digit, F.lit(1), F.size(digit) - 1), F.slice(digit, F.lit(2), F.size(digit) - 1), lambda a, b: a != b), lambda d: d)).cast("double")
         spread = lambda m: F.aggregate(x["x"], F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
         joint = lambda m: F.aggregate(F.zip_with(F.slice(x["x"], F.lit(1), F.size(x["x"]) - 1), tail, lambda a, b: (a - m) * (b - m)), F.lit(0.0), lambda a, v: a + v)
         serial = let(mean, lambda m: F.try_divide(joint(m), spread(m)))
-        return F.struct(x["at"].alias("at"), x["to"].alias("to"), x["n"].alias("n"), x["k"].alias("k"), (x["k"] * x["same"] / x["n"] - x["n"]).alias("chi"), n1.alias("n1"), (changes + 1).cast("double").alias("runs"), serial.alias("serial"))
+        return F.struct(x["at"].alias("at"), x["to"].alias("to"), x["n"].alias("n"), x["k"].alias("k"), (x["k"] * x["same"] / x["n"] - x["n"]).alias("chi"), n1.alias("n1"), turns.alias("turns"), (changes + 1).cast("double").alias("runs"), serial.alias("serial"))
 
     def judged(x: Column) -> Column:
         n, free, n1 = x["n"], x["k"] - 1, x["n1"]
@@ -109,11 +122,17 @@ def _candidates(text: Column) -> Column:
         shift = (n - 1) * (x["k"] * PROSE - 1)
         z = (x["chi"] - free - shift) / F.sqrt(2 * free + 4 * shift)
         # ln of the normal distribution function, by its logistic approximation
-        surprise = F.log1p(F.exp(F.least(F.lit(500.0), -1.5976 * z - 0.07056 * z * z * z)))
+        prose = F.log1p(F.exp(F.least(F.lit(500.0), -1.5976 * z - 0.07056 * z * z * z)))
+        # Chernoff's bound of the binomial distribution's tail
+        often = x["turns"] / (n - 1)
+        gain = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+        names = F.when(often > TURN, (n - 1) * (gain(often, TURN) + gain(1 - often, 1 - TURN))).otherwise(0.0)
+        surprise = F.when(x["k"] == 16, names).otherwise(prose)
         bin_ = F.when(F.coalesce(random, F.lit(False)) & (shift > 0), F.least(F.lit(TOP), F.floor(surprise * BINS).cast("int"))).otherwise(-1)
         return F.struct(x["at"].alias("at"), x["to"].alias("to"), F.floor(F.log2(n)).cast("int").alias("octave"), bin_.alias("bin"))
 
-    some = F.filter(F.transform(_matches(text, CANDIDATE, len(BASE)), known), lambda x: x["alphabet"].isNotNull() & (F.length(x["body"]) >= 20))
+    runs = F.flatten(F.transform(_matches(text, CANDIDATE, len(BASE)), cut))
+    some = F.filter(F.transform(runs, known), lambda x: x["alphabet"].isNotNull() & (F.length(x["body"]) >= 20))
     return F.transform(F.transform(F.transform(some, placed), measured), judged)
 
 
