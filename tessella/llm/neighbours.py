@@ -4,7 +4,8 @@ With the largest norm L of all vectors, x becomes (x, sqrt(L**2 - |x|**2)) and a
 inner product. Centroids come from balanced k-means over at most SAMPLE vectors (those of the smallest hash of vec_id); their
 number follows the square root of the vectors', up to LISTS. Every vector is indexed: in the list of its nearest centroid, and in
 those of up to REPLICAS further ones that are hardly farther and not nearer to a list it is in already. A query searches a graph of the
-centroids, held in memory, best first, and takes the lists within NEAR times the smallest distance,
+centroids, held in memory, best first, until what is left is farther than SLACK * NEAR times the smallest distance (and than the
+BEAM nearest), and takes the lists within NEAR times the smallest distance, however many,
 and further ones until they hold READ vectors.
 
 Lists are dealt out in blocks by salted keys, as many as vectors and queries in them ask for, so that copies of one vector fill many
@@ -32,6 +33,8 @@ from .common import sliced, stored
 SAMPLE, LISTS = 16_384, 4_096
 REPLICAS, CLOSE = 4, 1.08
 DEGREE, BEAM, NEAR = 24, 128, 1.16
+#: How much farther than NEAR the search goes, for lists that only farther ones lead to.
+SLACK = 1.1
 #: Vectors that a query reads at least, if there are so many.
 READ = 2_048
 #: Vectors and queries of a block, about.
@@ -107,24 +110,27 @@ class Index:
         seen[starts] = True
         todo = [(d, int(c)) for d, c in zip(far(starts), starts)]
         best = heapq.nsmallest(BEAM, todo)
+        met, least_far = list(todo), best[0][0]
         heapq.heapify(todo)
         worst = best[-1][0] if len(best) == BEAM else np.inf
         best = [(-d, c) for d, c in best]
         heapq.heapify(best)
         while todo:
             d, c = heapq.heappop(todo)
-            if len(best) >= BEAM and d > worst:
+            if len(best) >= BEAM and d > max(worst, SLACK * NEAR * least_far):
                 break
             new = self.graph[c][~seen[self.graph[c]]]
             seen[new] = True
             for dn, n in zip(far(new), new):
-                if len(best) < BEAM or dn < worst:
+                if len(best) < BEAM or dn <= max(worst, SLACK * NEAR * least_far):
                     heapq.heappush(todo, (dn, int(n)))
+                    met.append((dn, int(n)))
+                    least_far = min(least_far, dn)
                     heapq.heappush(best, (-dn, int(n)))
                     if len(best) > BEAM:
                         heapq.heappop(best)
                     worst = -best[0][0]
-        found = sorted((-d, c) for d, c in best)
+        found = sorted(met)
         if self.counts is not None and self.counts[[c for _, c in found]].sum() < least:
             every = np.arange(k)
             found = sorted(zip(far(every), every))
