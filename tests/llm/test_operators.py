@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -163,6 +164,61 @@ def test_secrets(spark, documents):
     assert secrets.digests(docs.limit(0)).count() == 0
 
 
+def test_battery(spark):
+    draw = np.random.default_rng(5)
+    texts = []
+    for pattern, letters, *_ in secrets.ALPHABETS:
+        texts += ["".join(draw.choice(list(letters), n)) for n in (20, 33, 64, 500)]
+        texts += ["".join(sorted(draw.choice(list(letters), 40)))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.c for r in docs.select("doc_id", secrets.battery(secrets.F.col("text")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        letters = next(a for p, a, *_ in secrets.ALPHABETS if re.fullmatch(p, t))
+        (c,) = got[i]
+        x = np.array([letters.index(s) for s in t], float)
+        n, k = len(x), len(letters)
+        seen = np.bincount(x.astype(int), minlength=k)
+        chi = ((seen - n / k) ** 2 / (n / k)).sum()
+        high = x >= k / 2
+        n1, n2 = high.sum(), (~high).sum()
+        runs = 1 + (high[1:] != high[:-1]).sum()
+        mean, spread = 2 * n1 * n2 / n + 1, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
+        serial = ((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum() / ((x - x.mean()) ** 2).sum()
+        kind = ["d" if s in secrets.DIGITS else "u" if s in secrets.UPPER else "l" if s in secrets.LOWER else "s" for s in t]
+        assert (c.at, c.to, c.n, c.k, c.turns) == (0, n, n, k, sum(a != b for a, b in zip(kind, kind[1:])))
+        assert np.allclose([c.chi, c.runs, c.serial], [chi, (runs - mean) / spread**0.5, serial * n**0.5], atol=1e-9)
+        tail = lambda z: 0.5 * (1 - math.erf(z / 2**0.5))
+        free = k - 1
+        p1 = tail(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5)
+        p = p1 * 2 * tail(abs(c.runs)) * 2 * tail(abs(c.serial))
+        if p > 1e-9:
+            want = p * (1 - math.log(p) + math.log(p) ** 2 / 2)
+            assert abs(math.exp(-c.random) - want) < 0.02, (t, math.exp(-c.random), want)
+
+
+def test_many_spans(spark):
+    """Places of thousands of spans in one text, base ones between random ones, and what is left of it."""
+    draw = np.random.default_rng(6)
+    letters = list(secrets.DIGITS + secrets.UPPER + secrets.LOWER)
+    words = [("é deadbeefdeadbeef%04x " % i) if i % 3 else "token=" + "".join(draw.choice(letters, 30)) + " " + "".join(draw.choice(letters, 40)) + " " for i in range(3000)]
+    text = "".join(words)
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    one = {r.doc_id: r.spans for r in secrets.digests(docs).collect()}
+    found = [x.split(":") for x in one[1].split(",")]
+    base = brute_spans(text)
+    assert [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in found if k != "random"] == base
+    random = [(int(a), int(b)) for k, a, b in found if k == "random"]
+    assert len(random) > 900 and not any(a < y and x < b for a, b in random for x, _, y in base[:50])
+    marks = sorted([(a, b) for a, _, b in base] + random)
+    left, at = [], 0
+    for a, b in marks:
+        if a >= at:
+            left += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean == {1: "".join(left) + text[at:], 2: "plain"}
+
+
 @pytest.mark.parametrize("bits", [27, 16])
 def test_substrings(documents, rows, bits):
     first = {}
@@ -212,22 +268,46 @@ def test_decontamination(spark, sf, documents, rows):
     assert by((r.doc_id,) for r in left.collect()) == by((i,) for i, _, n, _ in want if not n)
 
 
-def test_pseudo_likelihood(spark, documents, rows):
+def test_pseudo_likelihood(spark, documents, rows, monkeypatch):
+    # several shards and rounds of several even here
+    monkeypatch.setattr(pseudo_likelihood, "SHARD", 4096)
+    monkeypatch.setattr(pseudo_likelihood, "PER_WEIGHT", 0.5)
     got = pseudo_likelihood.scores(documents).collect()
     assert len(got) == len(rows)
     empty = [r for r in got if r.n_words == 0]
     assert empty and all(r.log_prob == 0 and r.mean_log_prob is None for r in empty)
+    other = {(r.doc_id, r.n_words, round(r.log_prob, 2)) for r in pseudo_likelihood.scores(documents.repartition(16)).collect()}
+    assert other == {(r.doc_id, r.n_words, round(r.log_prob, 2)) for r in pseudo_likelihood.scores(documents.coalesce(1)).collect()}
     docs = documents.selectExpr("doc_id", "cast(coalesce(text, '') as binary) as raw")
-    ids, net = pseudo_likelihood.train(docs)
-    near, at, _ = pseudo_likelihood.windows([(t or "").encode() for _, t in rows], ids)
-    some = net.logs(near[:50], at[:50])
-    for k in range(50):  # by the definition, one word at a time
-        h = np.append(np.tanh(sum(net.inner[o][near[k, o]] for o in range(4))), 1)
-        z = np.concatenate([np.log(np.exp(h @ net.top)[c] / np.exp(h @ net.top).sum()) + np.log(np.exp(h @ net.member[c]) / np.exp(h @ net.member[c]).sum()) for c in range(pseudo_likelihood.SIDE)])
-        assert abs(z[at[k]] - some[k]) < 1e-3 and abs(np.exp(z).sum() - 1) < 1e-3
-    counts = np.bincount(at, minlength=pseudo_likelihood.SIZE) + 1.0
-    alone = np.log(counts / counts.sum())[at].mean()
-    assert net.logs(near, at).mean() > alone
+    words, counts = pseudo_likelihood.vocabulary(docs)
+    n = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
+    root = sum(n.values()) ** 0.5
+    own = {w for w, k in n.items() if k >= root / pseudo_likelihood.OWN}
+    assert len(words.own) == len(own) <= 2 * root and sorted(counts[: len(own)]) == sorted(n[w] for w in own)
+    # all words, and one unseen word a bucket, have probabilities that sum to 1 within their bucket
+    kinds = sorted(set(n) - own)
+    ids, shares = words.encode(pseudo_likelihood.hashes_of(kinds))
+    sums = np.exp(words.rest) + np.bincount(ids - len(own), np.exp(shares), len(words.rest))
+    assert np.allclose(sums, 1)
+    exact = {w: np.log(n[w]) for w in kinds if n[w] >= root / pseudo_likelihood.COUNTED}
+    total = np.bincount(ids - len(own), [n[w] for w in kinds], len(words.rest)) + 1
+    assert all(abs(shares[k] - exact[w] + np.log(total[ids[k] - len(own)])) < 1e-9 for k, w in enumerate(kinds) if w in exact)
+    made = pseudo_likelihood.encoded(docs, words)
+    net = pseudo_likelihood.train(made, pseudo_likelihood.Network.start(counts))
+    # every text by the definition, one word at a time
+    for r in sorted(got, key=lambda r: r.n_words)[-40:-30]:
+        text = next(t for i, t in rows if i == r.doc_id)
+        at, share = words.encode(pseudo_likelihood.hashes_of(text.encode().lower().split()))
+        line = [net.size] * 2 + at.tolist() + [net.size] * 2
+        total = share.sum()
+        for k, i in enumerate(at.tolist()):
+            h = np.append(np.tanh(sum(net.inner[o][line[k + 2 + p]].astype(float) for o, p in enumerate(pseudo_likelihood.PLACES))), 1)
+            top, member = np.exp(h @ net.top), np.exp(h @ net.member[i // net.side])
+            total += np.log(top[i // net.side] / top.sum()) + np.log(member[i % net.side] / member.sum())
+        assert abs(total - r.log_prob) < 1e-3 * max(1, r.n_words**0.5)
+    start = pseudo_likelihood.Network.start(counts)
+    near, at = pseudo_likelihood.windows([words.encode(pseudo_likelihood.hashes_of((t or "").encode().lower().split()))[0] for _, t in rows], net.size)
+    assert net.logs(near, at).mean() > start.logs(near, at).mean()
     assert pseudo_likelihood.scores(documents.limit(0)).count() == 0
 
 
