@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +25,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one is set only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local one is made for a local
+    master; on a cluster executors couldn't see that, so it must be set there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -35,26 +41,51 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Where what stored() gave lies; writes under way by session, and what the setting was before them.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_WRITES: WeakKeyDictionary[SparkSession, list] = WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and lost executors don't lose it.
-    The shuffle files of the query that wrote it go at once, as nothing reads them again."""
+    The shuffle files of the query that wrote it go at once, as nothing reads them again; the session's setting for that is put back
+    when its last such write is over, whichever thread makes it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    with _LOCK:
+        under_way = _WRITES.setdefault(spark, [0, spark.conf.get(CLEANUP, "false")])
+        under_way[0] += 1
+        spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _LOCK:
+            under_way[0] -= 1
+            if not under_way[0]:
+                spark.conf.set(CLEANUP, _WRITES.pop(spark)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these, which nothing reads again."""
+    for df in frames:
+        if path := _PATHS.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of a side that is broadcast, at most; rows of one long each, which take about 100 bytes in a task's table.
-BROADCAST, IDS = 1 << 20, 1 << 21
+#: What is broadcast at most: rows, and characters of what they hold.
+BROADCAST, CHARS = 1 << 20, 1 << 26
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
-    """df to be broadcast if its rows, which are counted, are few; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, chars: Column | None = None) -> DataFrame:
+    """df to be broadcast if its rows, which are counted, and the characters in them are few; else as it is, to be joined by shuffle."""
+    if df.limit(BROADCAST + 1).count() > BROADCAST:
+        return df
+    small = chars is None or (df.agg(F.sum(chars)).first()[0] or 0) <= CHARS
+    return F.broadcast(df) if small else df
 
 
 def raw_text(name: str = "text") -> Column:

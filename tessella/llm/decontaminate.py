@@ -75,7 +75,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     full = items.select("item", F.explode(let(F.col("w"), lambda w: F.when(F.size(w) >= window, F.arrays_zip(_smallest(w, F.size(w), window).alias("h"), _windows_all(w, window).alias("words"))).otherwise(F.array(F.struct(F.xxhash64(F.array_join(w, " ")).alias("h"), F.array_join(w, " ").alias("words")))))).alias("x")).select("item", "x.h", "x.words")
     full = stored(full, "windows")
     hashes = bounded(full.select(F.col("h").alias("known")).distinct())
-    windows = bounded(full.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    windows = full.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    windows = bounded(windows, F.length("words") + F.length(F.array_join("items", " ")))
 
     def all_of(w: Column) -> Column:
         n = F.size(w)
@@ -115,6 +116,7 @@ def _windows_all(words: Column, window: int) -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark window."""
     hit = contamination(docs, benchmark, text=text).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    hit = bounded(stored(hit, "hit"))
+    # Spark broadcasts what goes below its own threshold; beyond it, both sides are shuffled
+    hit = stored(hit, "hit")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("hit_hash"))
     return docs.join(hit, same, "left_anti")

@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IDS, bounded, raw_text, sliced, stored
+from .common import forget, raw_text, sliced, stored
 
 SEED = 42
 BITS = 64
 #: Features hashed at a time, which bounds the memory that a very long text takes.
 BLOCK = 1 << 16
+#: Fingerprints of a bucket, on average, up to which there are more segments.
+FULL = 16
 
 
 def fingerprint(raw: bytes, shingle: int) -> int:
@@ -84,6 +86,11 @@ def _masks(width: int, radius: int):
     return F.from_json(F.lit(str(ball(width, radius))), "array<bigint>")
 
 
+def segments_for(n: int) -> int:
+    """The most segments whose buckets hold FULL of n evenly spread fingerprints or fewer: more make smaller balls, fewer longer keys."""
+    return next((s for s in (4, 3) if n <= FULL << BITS // s), 2)
+
+
 def links(fps: DataFrame, radius: int = 4, segments: int = 3, hot: int = 1024) -> DataFrame:
     """Pairs a, b that connect whatever distinct fingerprints fp are linked.
 
@@ -128,27 +135,28 @@ def components(edges: DataFrame) -> DataFrame:
     met vanish; each round is written to the shared folder. Only the number of pairs left reaches the driver.
     """
     pairs = stored(edges.select("a", "b").where("a != b").distinct(), "pairs")
-    roots = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    roots = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
     step = 0
     while not pairs.isEmpty():
         rank = lambda c, s=step: F.struct(F.xxhash64(F.lit(s), c).alias("h"), c.alias("n"))
         ends = pairs.union(pairs.select(F.col("b"), F.col("a")))
         to = ends.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
         to = stored(to.select(F.col("a").alias("from"), F.least(rank(F.col("a")), F.col("m"))["n"].alias("to")), "parents")
-        moved = roots.join(to, roots["root"] == to["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = stored(moved, "roots")
+        moved = stored(roots.join(to, roots["root"] == to["from"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         one = pairs.join(to, pairs["a"] == to["from"]).select(F.col("to").alias("a"), "b")
         two = one.join(to, one["b"] == to["from"]).select("a", F.col("to").alias("b")).where("a != b")
-        pairs = stored(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        left = stored(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        forget(pairs, roots, to)
+        pairs, roots = left, moved
         step += 1
     return roots
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 3, text: str = "text", hot: int = 1024) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) of every row."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int | None = None, text: str = "text", hot: int = 1024) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the component) of every row; segments follow the number of fingerprints if not given."""
     rows = stored(fingerprints(docs, shingle, text), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, segments, hot))
+    roots = components(links(nodes.select("fp"), radius, segments or segments_for(nodes.count()), hot))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(least, "root").select("fp", "component_id")
@@ -163,7 +171,7 @@ def one_of_each(docs: DataFrame, **kind) -> DataFrame:
     kept = stored(found.where(first).groupBy(F.col("doc_id").alias("kept_id")).count(), "kept")
     gone = found.where(~first).select(F.col("doc_id").alias("gone_id")).distinct()
     gone = stored(gone.join(kept, F.col("gone_id").eqNullSafe(F.col("kept_id")), "left_anti"), "gone")
-    # the texts aren't shuffled while what goes is few; beyond that, both sides are
-    out = docs.join(bounded(gone, IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    # Spark broadcasts what goes below its own threshold; beyond it, both sides are shuffled
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
     repeated = not kept.where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id"]) if repeated else out
