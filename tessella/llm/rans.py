@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import raw_text, sliced
+from .common import bounded, raw_text, sliced
 from .word_tokens import word_tokens
 
 MAGIC = 0x31534E52
@@ -187,4 +187,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         names=["doc_id", "start", "ids"],
                     )
 
-    return files.select("part", "segment", "payload").join(F.broadcast(before), ["part", "segment"]).select("base", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("part", "segment", "payload").join(bounded(before), ["part", "segment"]).select("base", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
