@@ -130,25 +130,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
     """The machine of the labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
     known = known.where(~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    # a document missing from docs has no text to learn from
+    # a document missing from docs has no text to learn from; of several rows of a doc_id, that of the smallest hash of its text
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chosen = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text(text)).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("raw", F.struct(F.xxhash64("raw"), "raw")).alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             found = [features(x) for x in part.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "label", "buckets", "stats"])
 
-    # a doc_id with several rows gives one of them, so that the sample's bound holds
     made = rows.select("doc_id", "label", "raw").mapInArrow(run, "doc_id long, label int, buckets array<int>, stats array<float>")
-    got = made.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    keep, last = [], object()
-    for k, i in enumerate(got.column("doc_id").to_pylist()):
-        if i != last:
-            keep.append(k)
-        last = i
-    got = got.take(pa.array(keep, pa.int64()))
+    got = made.toArrow().sort_by([("doc_id", "ascending")])  # `sample` rows at most
     buckets = [np.array(x, np.int32) for x in got.column("buckets").to_pylist()]
     stats = np.array(got.column("stats").to_pylist(), np.float32).reshape(len(buckets), len(statistics(b"", [])))
     return train(buckets, stats, np.array(got.column("label").to_pylist(), np.float32))
