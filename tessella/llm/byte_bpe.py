@@ -29,6 +29,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNEVEN = regex.compile(rf"(?:^| )[{SPACE}]| $")
 #: Marks of chunks met before; two chunks may share one, which only holds a chunk earlier.
 MARKS = 1 << 22
+#: Characters of a chunk that is held, at most, so that what is held is bounded in bytes.
+LONG = 64
 _TO_CHARS = {b: FIRST + b for b in range(256)}
 
 
@@ -70,7 +72,7 @@ class ByteBpe(dict):
     """From a chunk of text, a blank before it if that belongs to it, to its packed ids. Chunks are held from the second time
     they are met, by a table of marks, so that the many that are met once take no memory."""
 
-    def __init__(self, path: str, pattern: str, cap: int = 500_000):
+    def __init__(self, path: str, pattern: str, cap: int = 250_000):
         import sentencepiece
 
         super().__init__()
@@ -87,6 +89,8 @@ class ByteBpe(dict):
         if (ids := self.old.get(chunk)) is None:
             pieces = [x.encode().decode("latin-1").translate(_TO_CHARS) for x in self.split(chunk)]
             ids = b"".join(self.numbers[self.own.encode(x)].tobytes() for x in pieces)
+        if len(chunk) > LONG:
+            return ids
         mark = hash(chunk) % MARKS
         if not self.met[mark]:
             self.met[mark] = 1

@@ -20,7 +20,7 @@ from .common import raw_text, sliced
 from .word_tokens import word_tokens
 
 #: Characters of a chunk and of its overlap with the next at first, and tokens that must agree on either side of a splice.
-CHUNK, OVERLAP, RUN = 32_768, 512, 2
+CHUNK, OVERLAP, RUN = 8_192, 256, 2
 
 Token = tuple[int, int, int]
 
@@ -76,9 +76,8 @@ def splice(library: Library, text: str, left: list[Token], right: list[Token], l
     return None
 
 
-def spliced(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of a text by chunks: the same as of the whole."""
-    ids: list[int] = []
+def pieces(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[Token]]:
+    """The tokens of a text by chunks, the same as of the whole, some at a time; an empty list, and no more, if no place proves a splice."""
     at, own, wide = 0, library.spans(text[:chunk]), overlap
     end = min(len(text), chunk)
     while end < len(text):
@@ -86,13 +85,35 @@ def spliced(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVER
         stop = min(len(text), low + chunk + wide)
         new = [(i, a + low, b + low) for i, a, b in library.spans(text[low:stop])]
         if found := splice(library, text, own, new, low, end):
-            ids += [t[0] for t in own[: found[0]]]
+            yield own[: found[0]]
             own, at, end, wide = new[found[1] :], new[found[1]][1], stop, overlap
         elif low > at:
             wide *= 2
         else:  # no place that both chunks prove
+            yield []
+            return
+    if own:
+        yield own
+
+
+def spliced(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of a text by chunks: the same as of the whole."""
+    ids: list[int] = []
+    for some in pieces(library, text, chunk, overlap):
+        if not some:
             return [t[0] for t in library.spans(text)]
-    return ids + [t[0] for t in own]
+        ids += [t[0] for t in some]
+    return ids
+
+
+def spliced_count(library: Library, raw: bytes, chunk: int = CHUNK) -> int:
+    """How many ids spliced() gives; no more than a chunk's are held, and of a text that can't be spliced their number only."""
+    n = 0
+    for some in pieces(library, raw.decode("utf-8", "replace"), chunk):
+        if not some:
+            return library.count(raw)
+        n += len(some)
+    return n
 
 
 _OPEN: dict[str, Library] = {}
@@ -104,7 +125,7 @@ def count(path: str, raw: bytes, chunk: int = CHUNK) -> int:
     library = _OPEN[path]
     if len(raw) <= chunk:
         return library.count(raw)
-    return len(spliced(library, raw.decode("utf-8", "replace"), chunk))
+    return spliced_count(library, raw, chunk)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text") -> DataFrame:

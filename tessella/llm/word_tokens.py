@@ -16,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Lower-case letters that the normaliser leaves and the pre-tokenizer keeps together, and ASCII signs that it parts from them.
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 SIGNS = ".,;:!?*#$%&|()-"
+#: Bytes of a word that is held, at most, so that what is held is bounded in bytes.
+LONG = 64
 PLAIN = re.compile(rf"(?:[a-zß-öø-ÿ]+|[{re.escape(SIGNS)}]+)")
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,6 +49,8 @@ class WordTokens(dict):
     def __missing__(self, word: bytes) -> bytes:
         if (ids := self.old.get(word)) is None:
             ids = self._ids(word)
+            if len(word) > LONG:
+                return ids
         if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()
