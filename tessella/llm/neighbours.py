@@ -1,18 +1,18 @@
 """Nearest neighbours by largest inner product, from balanced posting lists.
 
 With the largest norm L of all vectors, x becomes (x, sqrt(L**2 - |x|**2)) and a query (q, 0): nearest by distance is then largest by
-inner product. Centroids come from balanced k-means over at most SAMPLE vectors (those of the smallest hash of vec_id); their
-number follows the square root of the vectors', up to LISTS. Every vector is indexed: in the list of its nearest centroid, and in
-those of up to REPLICAS further ones that are hardly farther and not nearer to a list it is in already. A query searches a graph of the
+inner product. The number of lists is the square root of the vectors', up to LISTS. Their centroids come from balanced k-means over at
+most SAMPLE vectors or PER_LIST a list (those of the smallest hash of vec_id), by two levels if there are more than FLAT: the square root
+of their number first, then each part's own share. Every vector is indexed: in the list of its nearest centroid, and in those of
+up to REPLICAS further ones that are hardly farther and not nearer to a list it is in already. A query searches a graph of the
 centroids, held in memory, best first, until what is left is farther than SLACK * NEAR times the smallest distance (and than the
-BEAM nearest), and takes the lists within NEAR times the smallest distance, however many,
-and further ones until they hold READ vectors.
+BEAM nearest), and takes the lists within NEAR times the smallest distance, however many, and further ones until they hold READ vectors.
 
 Lists are dealt out in blocks by salted keys, as many as vectors and queries in them ask for, so that copies of one vector fill many
-blocks; each block gives a query's best k, and these meet by query_id. No list or block is capped.
+blocks; each block gives a query's best k by a matrix product, and these meet by query_id. No list or block is capped.
 
 Vectors that are null, zero, hold null or non-finite components, or aren't as long as most, take no part; nor do null vec_ids. Rows of one
-vec_id count as one candidate, by their best score, and as one query, by the first of them. Other columns are ignored.
+vec_id count as one candidate, by their best score, and as one query, by the smallest of their vectors. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +30,15 @@ from pyspark.sql.window import Window
 
 from .common import sliced, stored
 
-SAMPLE, LISTS = 16_384, 4_096
+SAMPLE, PER_LIST, LISTS, FLAT = 16_384, 8, 65_536, 512
 REPLICAS, CLOSE = 4, 1.08
 DEGREE, BEAM, NEAR = 24, 128, 1.16
 #: How much farther than NEAR the search goes, for lists that only farther ones lead to.
 SLACK = 1.1
 #: Vectors that a query reads at least, if there are so many.
 READ = 2_048
-#: Vectors and queries of a block, about.
-VECTORS, QUERIES = 4_096, 1_024
+#: Vectors and queries of a block, about; queries of a task that searches the graph; numbers of a matrix at a time.
+VECTORS, QUERIES, SEARCHES, NUMBERS = 16_384, 8_192, 256, 1 << 22
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,6 +65,16 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 20, weight: float =
     return c
 
 
+def centroids_of(x: np.ndarray, k: int) -> np.ndarray:
+    """k balanced centroids (fewer, if there are fewer vectors), by two levels if k is over FLAT."""
+    if k <= FLAT:
+        return balanced_centroids(x, k)
+    coarse = balanced_centroids(x, round(k**0.5))
+    own = np.concatenate([np.argmin(_square(part, coarse), axis=1) for part in np.array_split(x, -(-len(x) * len(coarse) // NUMBERS))])
+    sizes = np.bincount(own, minlength=len(coarse))
+    return np.concatenate([balanced_centroids(x[own == c], max(1, round(k * sizes[c] / len(x)))) for c in np.flatnonzero(sizes)])
+
+
 @dataclass
 class Index:
     top: float
@@ -75,9 +85,8 @@ class Index:
     @staticmethod
     def of(sample: np.ndarray, top: float, n: int) -> Index:
         x = np.concatenate([sample, np.sqrt(np.maximum(top**2 - (sample**2).sum(1), 0))[:, None]], axis=1)
-        k = int(np.clip(round(n**0.5), 1, LISTS))
-        c = balanced_centroids(x, k)
-        near = np.argsort(_square(c, c), axis=1, kind="stable")[:, 1 : DEGREE + 1]
+        c = centroids_of(x, lists_for(n))
+        near = np.concatenate([np.argsort(_square(part, c), axis=1, kind="stable")[:, 1 : DEGREE + 1] for part in np.array_split(c, -(-(len(c) ** 2) // NUMBERS))])
         # a ring through all keeps the graph connected
         ring = (np.arange(len(c)) + 1) % len(c)
         return Index(top, c, np.concatenate([near, ring[:, None]], axis=1))
@@ -85,19 +94,20 @@ class Index:
     def lists(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: the nearest, and the boundary ones."""
         x = np.concatenate([x, np.sqrt(np.maximum(self.top**2 - (x**2).sum(1), 0))[:, None]], axis=1)
-        d = np.sqrt(_square(x, self.centroids))
-        m = min(2 * REPLICAS, d.shape[1])
-        near = np.argpartition(d, m - 1, axis=1)[:, :m]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
         out = []
-        for row, order in zip(d, near):
-            own = [order[0]]
-            for c in order[1:]:
-                if len(own) > REPLICAS or row[c] > CLOSE * row[own[0]]:
-                    break
-                if all(((self.centroids[c] - self.centroids[o]) ** 2).sum() > (0.5 * row[c]) ** 2 for o in own):
-                    own.append(c)
-            out.append(np.array(own, np.int32))
+        for part in np.array_split(x, -(-len(x) * len(self.centroids) // NUMBERS)):
+            d = np.sqrt(_square(part, self.centroids))
+            m = min(2 * REPLICAS, d.shape[1])
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+            for row, order in zip(d, near):
+                own = [order[0]]
+                for c in order[1:]:
+                    if len(own) > REPLICAS or row[c] > CLOSE * row[own[0]]:
+                        break
+                    if all(((self.centroids[c] - self.centroids[o]) ** 2).sum() > (0.5 * row[c]) ** 2 for o in own):
+                        own.append(c)
+                out.append(np.array(own, np.int32))
         return out
 
     def search(self, q: np.ndarray, least: int) -> np.ndarray:
@@ -143,6 +153,38 @@ class Index:
         return np.array(out, np.int32)
 
 
+def lists_for(n: int) -> int:
+    return int(np.clip(round(n**0.5), 1, LISTS))
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of each query's k best of the vectors, but for its own vec_id."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]).all(1)])
+    ids, x = ids[~again], x[~again]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    names, sizes = ids[first], np.diff(np.append(first, len(ids)))
+    found = []
+    for turn in np.array_split(np.arange(len(q)), -(-len(q) * len(ids) // NUMBERS)):
+        near = np.maximum.reduceat(q[turn] @ x.T, first, axis=1)
+        near[names[None] == query_ids[turn][:, None]] = -np.inf
+        low = -np.partition(-near, k - 1, axis=1)[:, k - 1] if len(names) > k else np.full(len(turn), -np.inf)
+        low = np.where(np.isfinite(low), low - 1e-9 * (1 + np.abs(low)), low)
+        a, b = np.nonzero((near >= low[:, None]) & (near > -np.inf))
+        # the same sum for equal vectors, wherever they lie; the best row of each vec_id
+        rows = np.concatenate([[0], np.cumsum(sizes[b])])
+        at = np.arange(rows[-1]) - np.repeat(rows[:-1] - first[b], sizes[b])
+        each = (x[at] * q[turn][np.repeat(a, sizes[b])]).sum(1)
+        exact = np.maximum.reduceat(each, rows[:-1]) if len(b) else each
+        order = np.lexsort((names[b], -exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        some = place < k
+        found.append((query_ids[turn][a[some]], names[b[some]], exact[some]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -159,12 +201,19 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of queries, from the other vec_ids of vectors."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
+    rows = usable(vectors)
+    asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     total = rows.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     if not total["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    wanted = max(SAMPLE, PER_LIST * lists_for(total["n"]))
+    order = F.xxhash64("vec_id")
+    # few rows are sorted: those of small hashes, unless there are too few of them
+    small = rows.where(order < int(((2 * wanted / total["n"]) * 2 - 1) * (1 << 63)) if 4 * wanted < total["n"] else F.lit(True))
+    sample = small.orderBy(order, "vec_id", "v").limit(wanted).select("v").toArrow()
+    if sample.num_rows < min(wanted, total["n"]):
+        sample = rows.orderBy(order, "vec_id", "v").limit(wanted).select("v").toArrow()
     index = Index.of(_matrix(sample.column("v").combine_chunks()), total["top"], total["n"])
     shared = spark.sparkContext.broadcast(index)
 
@@ -186,6 +235,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             lists = [full.value.search(q, least).tolist() for q in _matrix(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
 
+    asked = stored(asked, "asked")
+    asked = asked.repartition(-(-max(1, asked.count()) // SEARCHES), "vec_id")
     found = asked.mapInArrow(ask, "query_id long, q array<double>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
     found = stored(found, "queries")
     asks = np.zeros(len(counts), np.int64)
@@ -197,31 +248,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     right = found.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "turns").cast("int").alias("turn"), "query_id", "q")
 
     def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(own) and len(asked):
-            own = own.sort_values("vec_id", kind="stable")
-            ids, x = own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy())
-            for qid, q in zip(asked["query_id"], asked["q"]):
-                near = x @ q
-                near[ids == qid] = -np.inf
-                if len(near) > k:
-                    low = np.partition(near, -k)[-k]
-                    some = np.flatnonzero(near >= low - 1e-9 * (1 + abs(low)))
-                else:
-                    some = np.arange(len(near))
-                some = some[near[some] > -np.inf]
-                exact = (x[some] * q).sum(1)  # the same sum for equal vectors, wherever they lie
-                order = np.lexsort((ids[some], -exact))
-                given = 0
-                last = None
-                for o in order:
-                    if ids[some[o]] != last:
-                        last = ids[some[o]]
-                        out.append((qid, last, float(exact[o])))
-                        given += 1
-                        if given == k:
-                            break
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        found = best_of(own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()), asked["query_id"].to_numpy(), np.stack(asked["q"].to_numpy()), k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     keys = ["list", "part", "turn"]
     each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
