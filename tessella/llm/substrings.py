@@ -1,14 +1,22 @@
 """Passages that repeat across documents, by relative Lempel-Ziv parsing against blocks of all earlier documents.
 
-The reference of a document is every document of a smaller doc_id. Its blocks are windows of `window` words, and factors are what is
-parsed: the windows that follow each other with one anchor (the smallest GRAM-word hash of a window) with all their words. A
-factor that an earlier document has too, whole, is a duplicate span. Equal windows have equal anchors, so whatever a document
-shares with another lies in factors of the same anchor; only where these differ, at the boundaries of what is shared, are
-windows looked up one by one. So no window is missed, and few are hashed, sent and joined by themselves.
-
-Three steps: anchors that two documents have fill a bitmap of fixed size (others may be met in it by chance, none is lost);
-factors with such anchors are joined to the smallest doc_id that has them; anchors of several different factors fill a second
-bitmap, and the windows under those are joined to the smallest doc_id that has them. Hashes joined are of 96 bits.
+The reference of a document is every document of a smaller doc_id. Its blocks are runs of windows of `window` words that follow each other with
+one anchor (the smallest GRAM-word hash of a window), with all their words; the index holds each block, and each single window of an anchor
+whose blocks differ, with the place where it occurs first: the smallest doc_id and the word there. A document's blocks and windows that the
+index has from a smaller doc_id are seeds: a place in the document and one in a reference. Seeds of one reference that
+go on there as they do in the document extend each other. The parse is greedy: from the first window that has a seed, the one that
+reaches farthest is the factor (its words, the reference and the place in it); windows across the factor's end are looked at next,
+so that a factor may begin before the last one's words are over, and what no seed has is literal. Factors of a window's words or more are duplicate spans.
+
+Equal windows have equal anchors, so whatever a document shares with another lies in blocks of the same anchor; only where these
+differ, at the ends of what is shared, are windows looked up one by one. So no window is missed, and few are hashed, sent and joined by
+themselves. A factor is as long as the reference that the index names for its windows has it; another reference may have a
+longer one, which covers no more.
+
+Three steps: anchors that two documents have fill a bitmap, whose size follows their number up to 2**BITS bits (others may be met in it by
+chance, none is lost; beyond that size more are, and more blocks are joined in vain); blocks with such anchors are joined to the smallest
+doc_id that has them; anchors of several different blocks fill a second bitmap, and the windows under those are joined likewise. Hashes
+joined are of 96 bits.
 
 Words are what ASCII white space separates. Null texts have no words. A document that repeats its own passage keeps it. Rows of
 one doc_id are judged each by its text and don't make each other's passages duplicates; a row of a null doc_id is neither
@@ -26,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, sliced, stored
+from .common import forget, raw_text, sliced, stored
 
 WINDOW, GRAM = 13, 5
-#: log2 of the bitmap's bits.
-BITMAP = 27
+#: Bits of a bitmap for each anchor, and log2 of its bits at most.
+SPARSE, BITS = 64, 30
 _RANDOM = np.random.default_rng(13)
 _ODD = _RANDOM.integers(1, 1 << 63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -69,14 +77,18 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
-def _bitmap(anchors: DataFrame, bits: int) -> bytes:
-    """Bits of the anchors: 2**bits / 8 bytes, whatever their number."""
+def _bitmap(anchors: DataFrame, bits: int | None) -> tuple[bytes, int]:
+    """Bits of the anchors, 2**bits / 8 bytes, and bits: by the anchors' number if not given."""
+    anchors = stored(anchors, "anchors")
+    bits = bits or min(BITS, max(16, (SPARSE * anchors.count()).bit_length()))
     place = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("place")
     pages = anchors.select(place).groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros((max(1 << bits >> 15, 1) + 2, 4096), np.uint8)
-    for r in stored(pages, "bitmap").toLocalIterator():
+    made = stored(pages, "bitmap")
+    for r in made.toLocalIterator():
         out[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
+    forget(anchors, made)
+    return out.tobytes(), bits
 
 
 def _shared_anchors(rows: DataFrame, window: int) -> DataFrame:
@@ -116,8 +128,8 @@ def _runs(windows: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -
 _NONE = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
 
-def _factors_of(hashes: np.ndarray, window: int, bitmap: np.ndarray, bits: int, single: bool) -> tuple[np.ndarray, ...]:
-    """at, n (windows), anchor, high, low of the factors whose anchor is in the bitmap, or of their single windows."""
+def _blocks_of(hashes: np.ndarray, window: int, bitmap: np.ndarray, bits: int, single: bool) -> tuple[np.ndarray, ...]:
+    """at, n (windows), anchor, high, low of the blocks whose anchor is in the bitmap, or of their single windows."""
     if len(hashes) < window:
         return _NONE
     anchors = _anchors(hashes, window)
@@ -132,79 +144,119 @@ def _factors_of(hashes: np.ndarray, window: int, bitmap: np.ndarray, bits: int,
     return starts.astype(np.int32), (ends - starts).astype(np.int32), anchors[starts].view(np.int64), high.view(np.int64), low.astype(np.uint32).view(np.int32)
 
 
-def _blocks(rows: DataFrame, window: int, bitmap: bytes, bits: int, single: bool) -> DataFrame:
-    """doc_id, text_hash, at, n, anchor, high, low of each factor or window of every row, written to the shared folder."""
+def _blocks(rows: DataFrame, window: int, anchors: DataFrame, bits: int | None, single: bool) -> DataFrame:
+    """doc_id, text_hash, at, n, anchor, high, low of each block or window of every row with one of the anchors, written to the shared folder."""
+    bitmap, bits = _bitmap(anchors, bits)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.frombuffer(shared.value, np.uint8)
         for part in sliced(batches):
-            found = list(zip(*(_factors_of(_words(x), window, there, bits, single) for x in part.column(2).to_pylist())))
+            found = list(zip(*(_blocks_of(_words(x), window, there, bits, single) for x in part.column(2).to_pylist())))
             lists = [_lists(list(x), kind) for x, kind in zip(found, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "text_hash", "at", "n", "anchor", "high", "low"])
 
     made = rows.mapInArrow(run, "doc_id long, text_hash long, at array<int>, n array<int>, anchor array<long>, high array<long>, low array<int>").where(F.size("at") > 0)
-    held = stored(made, "windows" if single else "factors")
+    held = stored(made, "windows" if single else "blocks")
     return held.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "n", "anchor", "high", "low")).alias("b")).select("doc_id", "text_hash", "b.*")
 
 
-def _later(blocks: DataFrame, first: DataFrame) -> DataFrame:
-    """Blocks that a smaller doc_id has too."""
-    return blocks.join(first, ["high", "low"]).where("first < doc_id").select("doc_id", "text_hash", "at", "n")
+def _seeds(blocks: DataFrame, first: DataFrame, tag: str) -> DataFrame:
+    """doc_id, text_hash, at, n, ref, ref_at: blocks that a smaller doc_id has too, with the smallest and the first word of it there."""
+    # stored, so that a join deals out both sides itself and can split what a frequent block fills
+    met = stored(blocks.join(first, ["high", "low"]).select("doc_id", "text_hash", "at", "n", "high", "low", F.col("first").alias("ref")), tag)
+    places = stored(met.where("doc_id = ref").groupBy("high", "low").agg(F.min("at").alias("ref_at")), f"{tag}-places")
+    return met.where("ref < doc_id").join(places, ["high", "low"]).select("doc_id", "text_hash", "at", "n", "ref", "ref_at")
 
 
-def duplicate_factors(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, at, n: the words at which runs of n windows begin that a smaller doc_id has too."""
+def seeds(docs: DataFrame, window: int = WINDOW, bits: int | None = None, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, at, n, ref, ref_at: the words at which n windows begin that follow word ref_at of document ref too, ref < doc_id."""
     rows = _keyed(docs, text).where("doc_id is not null")
-    factors = _blocks(rows, window, _bitmap(_shared_anchors(rows, window), bits), bits, single=False)
+    blocks = _blocks(rows, window, _shared_anchors(rows, window), bits, single=False)
     # counted per task first, so that what a third of all documents have is a few rows here
-    first = stored(factors.groupBy("anchor", "high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "first")
-    whole = stored(_later(factors, first.where("first < last").select("high", "low", "first")), "whole")
+    first = stored(blocks.groupBy("anchor", "high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "first")
+    whole = stored(_seeds(blocks, first.where("first < last").select("high", "low", "first"), "met"), "whole")
     several = first.groupBy("anchor").count().where("count > 1").select("anchor")
-    windows = _blocks(rows, window, _bitmap(several, bits), bits, single=True)
+    windows = _blocks(rows, window, several, bits, single=True)
     one = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    # stored, so that the join deals out both sides itself and can split what a frequent window fills
-    return whole.union(_later(windows, stored(one, "one")))
+    return whole.union(_seeds(windows, stored(one, "one"), "met-one"))
+
+
+def parsed(hits: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """The factors (at, words, ref, ref_at) of a document, from its seeds (at, n, ref, ref_at)."""
+    lines: dict[tuple[int, int], list[list[int]]] = {}
+    for at, n, ref, ref_at in sorted(hits):
+        own = lines.setdefault((ref, ref_at - at), [])
+        if own and own[-1][1] >= at:  # goes on in the reference
+            own[-1][1] = max(own[-1][1], at + n)
+        else:
+            own.append([at, at + n])
+    runs = sorted((at, to, ref, ref_at) for (ref, ref_at), own in lines.items() for at, to in own)
+    out: list[tuple[int, int, int, int]] = []
+    k, at, best = 0, 0, None
+    while k < len(runs) or best:
+        if best is None:
+            at = max(at, runs[k][0])
+        while k < len(runs) and runs[k][0] <= at:
+            if runs[k][1] > at and (best is None or runs[k][1] > best[1]):
+                best = runs[k]
+            k += 1
+        if best:
+            out.append((at, best[1] - at + window - 1, best[2], at + best[3]))
+            at, best = best[1], None
+    return out
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text(text)).select("doc_id", F.xxhash64("raw").alias("text_hash"), "raw")
 
 
-def factors(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, spans: struct(at, n) of its duplicate factors, each of n windows."""
-    found = duplicate_factors(docs, window, bits, text)
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+def _hits(docs: DataFrame, window: int, bits: int | None, text: str) -> DataFrame:
+    found = seeds(docs, window, bits, text)
+    return stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "ref", "ref_at")).alias("hits")), "seeds")
+
+
+def factors(docs: DataFrame, window: int = WINDOW, bits: int | None = None, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, at, words, ref, ref_at: the factors of each document: that many words from word `at` on are those from word ref_at of
+    document ref on. Rows of equal doc_id and text give their factors once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            for doc, key, hits in zip(*(part.column(k).to_pylist() for k in range(3))):
+                found = parsed(list({tuple(h.values()) for h in hits}), window)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), pa.int64()) for x in (doc, key)] + [pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["doc_id", "text_hash", "at", "words", "ref", "ref_at"])
+
+    return _hits(docs, window, bits, text).mapInArrow(run, "doc_id long, text_hash long, at long, words long, ref long, ref_at long")
 
 
-def covered(n: int, at: np.ndarray, runs: np.ndarray, window: int) -> np.ndarray:
-    """Whether each of n words lies in a factor that begins at one of `at` and holds so many windows."""
+def covered(n: int, found: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Whether each of n words lies in a factor."""
     turns = np.zeros(n + 1, np.int64)
-    np.add.at(turns, at, 1)
-    np.add.at(turns, at + runs + window - 1, -1)
+    for at, words, *_ in found:
+        turns[at] += 1
+        turns[at + words] -= 1
     return np.cumsum(turns)[:n] > 0
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, bits: int | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (what is left, words joined by one blank) of every row."""
     return _removed(docs, window, bits, text, lambda kept: kept.decode("utf-8", "replace"), "kept")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP, text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, bits: int | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     return _removed(docs, window, bits, text, lambda kept: hashlib.sha256(kept).hexdigest(), "kept_sha256")
 
 
-def _removed(docs: DataFrame, window: int, bits: int, text: str, made, name: str) -> DataFrame:
-    found = stored(factors(docs, window, bits, text), "spans")
-    rows = _keyed(docs, text).join(found, ["doc_id", "text_hash"], "left").select("doc_id", "raw", F.coalesce("spans.at", F.array().cast("array<int>")).alias("at"), F.coalesce("spans.n", F.array().cast("array<int>")).alias("n"))
+def _removed(docs: DataFrame, window: int, bits: int | None, text: str, made, name: str) -> DataFrame:
+    rows = _keyed(docs, text).join(_hits(docs, window, bits, text), ["doc_id", "text_hash"], "left").select("doc_id", "raw", *[F.col(f"hits.{c}") for c in ("at", "n", "ref", "ref_at")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             counts, removed, out = [], [], []
-            for raw, at, n in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+            for raw, *hits in zip(*(part.column(k).to_pylist() for k in range(1, 6))):
                 words = raw.split()
-                gone = covered(len(words), np.array(at, np.int64), np.array(n, np.int64), window) if at else None
+                gone = covered(len(words), parsed(list(zip(*hits)), window)) if hits[0] else None
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
                 counts.append(len(words))
                 removed.append(len(words) - len(kept))

@@ -239,6 +239,25 @@ def test_substrings(documents, rows, bits):
     assert by(tuple(r) for r in substrings.digests(documents, bits=bits).collect()) == by(want)
 
 
+def test_factors(spark, documents, rows):
+    """Every factor is a passage of its reference, and factors cover what windows do."""
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").encode().split())
+    got = substrings.factors(documents).collect()
+    assert len(got) > 50 and any(r.words > 100 for r in got)
+    for r in got:
+        assert r.ref < r.doc_id and r.words >= 13
+        assert any(b[r.ref_at : r.ref_at + r.words] == a[r.at : r.at + r.words] for a in texts[r.doc_id] for b in texts[r.ref])
+
+
+def test_parse():
+    # one reference goes on over three seeds; another reaches farther at its end; a third begins across that end
+    hits = [(0, 5, 1, 100), (5, 2, 1, 105), (3, 2, 1, 103), (6, 6, 2, 50), (12, 1, 3, 7), (30, 2, 1, 0)]
+    assert substrings.parsed(hits, 13) == [(0, 19, 1, 100), (7, 17, 2, 51), (12, 13, 3, 7), (30, 14, 1, 0)]
+    assert substrings.parsed([], 13) == []
+
+
 def test_decontamination(spark, sf, documents, rows):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     odd = [(900, "The of"), (901, "Of"), (902, None), (903, "..."), (904, "the OF"), (900, "A b-c D e f g h i j"), (905, "b c d e f g h i j k l")]
