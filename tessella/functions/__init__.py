@@ -168,3 +168,113 @@ def sample_text(value: Column, kind: str) -> Column:
 def display(value: Column, most: int = 100) -> Column:
     """A text to be shown, cut after so many characters."""
     return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit("..."))).otherwise(value)
+
+
+def raw_sql(answer: Column) -> Column:
+    """The query in a raw answer: after the last `SQL:`, else in the last fence, else from the first SELECT or WITH on; quotes around all of it go.
+    Null if what is left doesn't begin with SELECT or WITH."""
+    text = F.trim(answer)
+    marked = F.regexp_extract(text, r"(?is)^.*\bSQL\s*:\s*(.*)$", 1)
+    fences = F.regexp_extract_all(text, F.lit(r"(?is)```(?:sql)?\s*(.*?)```"), F.lit(1))
+    begun = F.regexp_extract(text, r"(?is)\b((?:SELECT|WITH)\b.*)$", 1)
+    found = F.when(text.rlike(r"(?i)\bSQL\s*:\s*"), marked).when(F.size(fences) > 0, F.element_at(fences, -1)).otherwise(begun)
+    found = F.regexp_replace(F.regexp_replace(_stripped(found), r"(?i)^```(?:sql)?\s*", ""), r"\s*```\s*$", "")
+    found = _stripped(found)
+    quoted = (F.length(found) >= 2) & found.startswith('"') & found.endswith('"')
+    found = F.when(quoted, _stripped(F.substring(found, F.lit(2), F.length(found) - 2))).otherwise(found)
+    return F.when(found.rlike(r"(?i)^(?:SELECT|WITH)\b"), found)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def selection(answer: Column) -> Column:
+    """tables (name, columns) of an answer that is one JSON object of exactly that shape, in a fence or not; null for any other."""
+    text = _stripped(answer)
+    fenced = text.rlike(r"(?is)^```(?:json)?\s*.*?\s*```$")
+    body = F.when(fenced, F.regexp_extract(text, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)).otherwise(text)
+    whole = F.try_parse_json(body)
+    raw = F.from_json(body, "tables array<string>")["tables"]
+    kind = lambda v, path, name: F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith(name)
+    listed = (F.json_object_keys(body) == F.array(F.lit("tables"))) & kind(whole, "$.tables", "ARRAY")
+    shaped = F.forall(raw, lambda t: F.coalesce((F.array_sort(F.json_object_keys(t)) == F.array(F.lit("columns"), F.lit("name"))) & t.rlike(r"^\{") & _texts(t), F.lit(False)))
+    read = F.from_json(body, "tables array<struct<name:string,columns:array<string>>>")["tables"]
+    return F.when(F.coalesce(listed & shaped, F.lit(False)), read)
+
+
+def _texts(table: Column) -> Column:
+    """Whether a table's name is a text and its columns are a list of texts."""
+    v = F.try_parse_json(table)
+    kinds = F.schema_of_variant(F.try_variant_get(v, "$.columns", "variant"))
+    return (F.schema_of_variant(F.try_variant_get(v, "$.name", "variant")) == "STRING") & kinds.isin("ARRAY<STRING>", "ARRAY<VOID>")
+
+
+def without_distinct(sql: Column) -> Column:
+    """SQL without the word DISTINCT outside quotes and comments, but for IS [NOT] DISTINCT FROM."""
+    kept = rf"({QUOTED}|\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b)"
+    return F.regexp_replace(sql, rf"(?is){kept}|\bDISTINCT\b", "$1")
+
+
+def glob(pattern: Column) -> Column:
+    """A regular expression for a name with `*` for any run of characters; all else stands for itself, in lower case."""
+    return F.concat(F.lit(r"^"), F.replace(F.regexp_replace(F.lower(pattern), r"([\\.\[\]{}()+?^$|])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))
+
+
+def quoted_name(name: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def bare_name(name: Column) -> Column:
+    """A name without its double quotes, in lower case if it had none."""
+    inner = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
+    return F.when(name.rlike('^".*"$'), inner).otherwise(F.lower(name))
+
+
+#: What a type's name holds makes it a number or a time.
+NUMBERS, TIMES = "int|real|number|numeric|double|float|decimal", "date|time"
+
+
+def kind_of_type(name: Column) -> Column:
+    low = F.lower(name)
+    return F.when(low.rlike(NUMBERS), "number").when(low.rlike(TIMES), "time").otherwise("text")
+
+
+def flag(text: Column) -> Column:
+    """A primary-key flag: true, false (also if empty), or null if it is neither."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin("true", "1", "yes", "y"), True).when(low.isin("", "false", "0", "no", "n"), False)
+
+
+#: Words of SQL that a skeleton keeps.
+KEPT = "select|from|where|group|by|order|having|limit|join|inner|left|right|full|on|and|or|not|in|is|null|like|between|union|all|intersect|except|distinct|as|case|when|then|else|end|count|sum|avg|min|max|asc|desc|exists"
+
+
+def skeleton(sql: Column) -> Column:
+    """The words of a query's shape: its keywords and signs, with `_` for each name, text or number."""
+    bare = F.regexp_replace(sql, r"'[^']*'|\"[^\"]*\"|`[^`]*`", " _ ")
+    words = F.regexp_extract_all(F.lower(bare), F.lit(r"[a-z_][a-z_0-9.]*|\d+(?:\.\d+)?|[<>=!]+|[(),*+/-]"), F.lit(0))
+    return F.transform(words, lambda w: F.when(w.rlike(rf"^(?:{KEPT})$") | ~w.rlike("^[a-z_0-9]"), w).otherwise("_"))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two arrays as sets; 0 if both are empty."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def with_hint(question: Column, evidence: Column) -> Column:
+    given = F.trim(F.coalesce(evidence, F.lit(""))) != ""
+    return F.when(given, F.concat(question, F.lit("\nHint: "), evidence)).otherwise(question)
+
+
+def specified(prompt: Column, specification: Column, before: str = "Question:") -> Column:
+    """A prompt with a specification block before its last `before`, or at its end; once only."""
+    block = F.concat(F.lit("[Specification]\n"), specification, F.lit("\n[/Specification]\n"))
+    at = F.length(prompt) - F.length(F.substring_index(prompt, before, -1)) - len(before)
+    put = F.when(F.contains(prompt, F.lit(before)), F.concat(F.substring(prompt, F.lit(1), at), block, F.substring(prompt, at + 1, F.length(prompt)))).otherwise(F.concat(prompt, F.lit("\n"), block))
+    return F.when(F.contains(prompt, F.lit("[Specification]")), prompt).otherwise(put)
+
+
+def canonical_hash(*columns: str) -> Column:
+    """The SHA-256 of a row as compact JSON, fields by name, nulls included."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,9 @@ def mcnemar(gains: pd.Series, losses: pd.Series) -> pd.Series:
         n, k = g + h, min(g, h)
         if n == 0:
             return 1.0
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-        return min(1.0, 2 * math.fsum(map(math.exp, logs)))
+        i = np.arange(1, k + 1)
+        logs = np.concatenate([[0.0], np.cumsum(np.log((n - i + 1) / i))]) - n * math.log(2)
+        return min(1.0, 2 * float(np.exp(logs).sum()))
 
     return pd.Series([p(int(g), int(h)) for g, h in zip(gains, losses)])
 
@@ -77,7 +79,6 @@ def trimmed(df: DataFrame, group: str, value: str, sigmas: float = 3.0) -> DataF
 def bootstrap_ratio(df: DataFrame, group: str, a: str, b: str, rounds: int = 2000, seed: int = 20260915) -> DataFrame:
     """Percentile interval of sum(b) / sum(a) by resampling pairs. The pairs are first counted, so that a group is its distinct
     pairs; a resample draws their multiplicities, which is drawing rows with replacement."""
-    import numpy as np
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         x, y, n = (rows[c].to_numpy(float) for c in ("a", "b", "n"))

@@ -1,3 +1,3 @@
 """Plans: guards, lineage and the registry of queries."""
 
-from . import answers, registry, reports  # noqa: F401  (they register)
+from . import answers, composites, registry, reports  # noqa: F401  (they register)

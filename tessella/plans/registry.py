@@ -80,7 +80,7 @@ _B = "select l_orderkey, l_linenumber, l_quantity from lineitem where l_discount
 
 def _bag(a: str, b: str, keys: str, test: str) -> str:
     on = " and ".join(f"x.{k} is not distinct from y.{k}" for k in keys.split(", "))
-    return f"with x as (select {keys}, count(*) as n from ({a}) group by {keys}), y as (select {keys}, count(*) as n from ({b}) group by {keys}), z as (select x.n as a, y.n as b from x full join y on {on}) select count(*) filter ({test}) = 0 as equal, count(*) filter ({test}) as n_differing from z"
+    return f"with x as (select {keys}, count(*) as n from ({a}) group by {keys}), y as (select {keys}, count(*) as n from ({b}) group by {keys}), z as (select x.n as a, y.n as b from x full join y on {on}) select true as comparable, count(*) filter ({test}) = 0 as equal, count(*) filter ({test}) as n_differing from z"
 
 
 def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -102,12 +102,44 @@ def exec_set_equal(spark, sf_dir):
 @query(_bag("select o_orderkey, o_orderstatus, row_number() over (order by o_orderkey) as r from orders", "select o_orderkey, o_orderstatus, row_number() over (order by o_orderdate, o_orderkey) as r from orders", "o_orderkey, o_orderstatus, r", "a is distinct from b"))
 def exec_ordered_equal(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    a = global_rank(rows.withColumn("k", F.struct("o_orderkey")), "k").select("o_orderkey", "o_orderstatus", "rank")
-    b = global_rank(rows.withColumn("k", F.struct("o_orderdate", "o_orderkey")), "k").select("o_orderkey", "o_orderstatus", "rank")
-    return compare.bag_equal(a, b)
+    place = lambda *key: global_rank(rows.withColumn("k", F.struct(*key)), "k").select("o_orderkey", "o_orderstatus", "rank")
+    return compare.bag_equal(place("o_orderkey"), place("o_orderdate", "o_orderkey"))
 
 
-_CELLS = "select item, col, sha256(string_agg(cell, ',' order by cell)) as h from (select item, col, sha256(cell) as cell from cells) group by item, col"
+#: Pairs of cells, and whether they are equal; null: they can't be compared.
+_CASES = [
+    ("double and integer", "1e15D", "1000000000000000L", True), ("double and decimal tenth", "0.1D", "0.1BD", False), ("double and decimal half", "0.5D", "0.5BD", True),
+    ("decimals in the eleventh place", "0.12345678901BD", "0.12345678902BD", False), ("38 digits", "99999999999999999999999999999999999999BD", "99999999999999999999999999999999999999BD", True),
+    ("boolean and binary", "true", "cast('true' as binary)", False), ("timestamps with and without a zone", "timestamp'2020-01-01'", "timestamp_ntz'2020-01-01'", False),
+    ("not a number", "double('NaN')", "double('NaN')", None), ("arrays of integers and doubles", "array(1)", "array(1.0D)", True), ("arrays in another order", "array(1, 2)", "array(2, 1)", False),
+    ("objects of any order", "named_struct('b', 1, 'a', null)", "named_struct('a', null, 'b', 1BD)", True), ("object and map", "named_struct('k', 'v')", "map('k', 'v')", True),
+    ("signed zero", "-0.0D", "0", True), ("large power of two", "double('1267650600228229401496703205376')", "1267650600228229401496703205376BD", True),
+    ("neighbours beyond 2**53", "9007199254740993L", "9007199254740992D", False), ("text and number", "'1'", "1", False), ("nulls", "null", "cast(null as int)", True),
+    ("array that holds no number", "array(double('NaN'))", "array(1)", None), ("float and double tenth", "float('0.1')", "0.1D", False), ("binary", "X'00'", "X'00'", True),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{n}', {'false' if w is None else 'true'}, {'cast(null as boolean)' if w is None else str(w).lower()})" for n, _, _, w in _CASES) + ") v(pair, comparable, equal)")
+def exec_cell_equality(spark, sf_dir):
+    each = [compare.bag_equal(spark.sql(f"select {a} as x"), spark.sql(f"select {b} as x")).select(F.lit(n).alias("pair"), "comparable", "equal") for n, a, b, _ in _CASES]
+    return profile.union_all(each)
+
+
+_MIXED = "l_orderkey, l_linenumber, l_quantity, l_shipdate"
+
+
+@query(f"""with a as (select {_MIXED}, count(*) as n from lineitem group by all), b as (select {_MIXED}, count(*) as n from lineitem where l_linenumber <> 3 group by all)
+    select true as comparable, count(*) filter (a.n is distinct from b.n) = 0 as equal, count(*) filter (a.n is distinct from b.n) as n_differing
+    from a full join b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_quantity = b.l_quantity and a.l_shipdate = b.l_shipdate""")
+def exec_mixed_types_equal(spark, sf_dir):
+    """One side's numbers are of other types, which doesn't matter, and a line number's rows are missing, which does."""
+    rows = table(spark, sf_dir, "lineitem").select(*_MIXED.split(", "))
+    other = rows.where("l_linenumber <> 3").select(F.col("l_orderkey").cast("decimal(30,4)"), F.col("l_linenumber").cast("double"), F.col("l_quantity").cast("decimal(20,6)"), "l_shipdate")
+    return compare.bag_equal(rows, other)
+
+
+#: A column as a multiset, whatever its order: its count, and the sum of 60 bits of each cell's MD5.
+_CELLS = "select item, col, count(*) || ':' || cast(sum(cast(('0x' || substr(md5(cell), 1, 15)) as bigint)) as varchar) as h from cells group by item, col"
 _E4 = f"""with cells as (
     select 'by_nation' as item, 0 as col, printf('%.2f', cast(s_nationkey as double)) as cell from supplier union all select 'by_nation', 1, printf('%.2f', round(s_acctbal, 2)) from supplier
     union all select 'swapped', 0, printf('%.2f', round(s_acctbal, 2)) from supplier union all select 'swapped', 1, printf('%.2f', cast(s_nationkey as double)) from supplier
@@ -122,9 +154,10 @@ def exec_spider2_hash_groups(spark, sf_dir):
     two = lambda c: F.format_string("%.2f", F.coalesce(F.round(F.col(c).cast("double"), 2), F.lit(0.0)))
     shape = lambda item, cols: s.select(F.lit(item).alias("item"), F.explode(F.array(*[F.struct(F.lit(i).alias("col"), two(c).alias("cell")) for i, c in enumerate(cols)])).alias("x")).select("item", "x.*")
     cells = profile.union_all([shape("by_nation", ["s_nationkey", "s_acctbal"]), shape("swapped", ["s_acctbal", "s_nationkey"]), shape("keys", ["s_suppkey", "s_nationkey"])])
-    whole = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256)
-    per = cells.withColumn("cell", F.sha2("cell", 256)).groupBy("item", "col").agg(whole("cell").alias("h")).groupBy("item").agg(whole("h").alias("result_hash"))
-    return per.groupBy("result_hash").agg(F.count("*").alias("n_items"), F.min("item").alias("first_item"))
+    bits = F.conv(F.substring(F.md5(F.col("cell").cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    per = cells.groupBy("item", "col").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(bits).cast("string")).alias("h"))
+    whole = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256)  # a hash a column
+    return per.groupBy("item").agg(whole.alias("result_hash")).groupBy("result_hash").agg(F.count("*").alias("n_items"), F.min("item").alias("first_item"))
 
 
 @query("""with items as (select r_regionkey as item from region), r as (select n_regionkey as item, case when n_regionkey = 1 then null else n_name end as v, 1 as has_row from nation where n_regionkey <> 0)
@@ -274,50 +307,54 @@ _KNN = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.qv as doubl
 
 
 def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The first vector of each label, and all vectors."""
+    """The vectors whose vec_id is divisible by 20, and all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    return e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.col("q.vec_id").alias("query_id"), F.col("q.embedding").alias("qv"), F.col("label").alias("query_label")), e
+    return e.where("vec_id % 20 = 0"), e
 
 
-_ASK = "(select label as query_label, min(vec_id) as query_id, arg_min(embedding, vec_id) as qv from embeddings group by label)"
+_ASK = "(select label as query_label, vec_id as query_id, embedding as qv from embeddings where vec_id % 20 = 0)"
 
 
-@query(f"select query_id, vec_id, round(s, 5) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(s, 6) desc, vec_id) as rank from (select q.query_id, e.vec_id, {_KNN} as s from embeddings e, {_ASK} q where e.vec_id <> q.query_id)) where rank <= 10")
+@query(f"""select query_id, vec_id, round(s, 5) as score, cast(rank as int) as rank from (
+    select *, row_number() over (partition by query_id order by round(s, 6) desc, vec_id) as rank from (
+      select q.query_id, e.vec_id, {_KNN} as s from embeddings e, {_ASK} q where e.vec_id <> q.query_id)) where rank <= 10""")
 def knn_topk_cosine(spark, sf_dir):
-    q, e = _asked(spark, sf_dir)
-    found = vectors.scored(q, e, vectors.cosine(F.col("embedding"), F.col("qv"))).where("vec_id <> query_id")
-    return vectors.top(found, "query_id", 10, F.desc(F.round("score", 6)), F.col("vec_id")).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+    found = vectors.nearest_cosine(*_asked(spark, sf_dir), 10)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query(f"select query_id, vec_id, round(s, 5) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(s, 6) desc, vec_id) as rank from (select q.query_id, e.vec_id, (0.7 * {_KNN} + 0.3 * (1.0 / (1 + abs(e.vec_id - q.query_id)))) / 1.0 as s from embeddings e, {_ASK} q where e.label <> q.query_label)) where rank <= 5")
+@query(f"""select query_id, vec_id, round(s, 5) as score, cast(rank as int) as rank from (
+    select *, row_number() over (partition by query_id order by round(s, 6) desc, vec_id) as rank from (
+      select q.query_id, e.vec_id, 0.7 * {_KNN} + 0.3 * (1.0 / (1 + abs(e.vec_id - q.query_id))) as s from embeddings e, {_ASK} q where e.label <> q.query_label)) where rank <= 5""")
 def dual_vector_retrieval_excluding_db(spark, sf_dir):
-    q, e = _asked(spark, sf_dir)
-    two = 0.7 * vectors.cosine(F.col("embedding"), F.col("qv")) + 0.3 * (1.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id"))))
-    found = vectors.scored(q, e, two).where("label <> query_label")
-    return vectors.top(found, "query_id", 5, F.desc(F.round("score", 6)), F.col("vec_id")).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+    found = vectors.nearest_combined(*_asked(spark, sf_dir), 5)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 _EUC = "list_distance(cast(e.embedding as double[]), cast(q.qv as double[]))"
 
 
-@query(f"select query_id, vec_id, qualified, round(s, 5) as distance, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by qualified desc, round(s, 6), vec_id) as rank from (select q.query_id, e.vec_id, e.label = q.query_label as qualified, {_EUC} as s from embeddings e, {_ASK} q where e.vec_id <> q.query_id)) where rank <= 5")
+@query(f"""select query_id, vec_id, qualified, round(s, 5) as distance, cast(rank as int) as rank from (
+    select *, row_number() over (partition by query_id order by qualified desc, round(s, 6), vec_id) as rank from (
+      select q.query_id, e.vec_id, e.label = q.query_label as qualified, {_EUC} as s from embeddings e, {_ASK} q where e.vec_id <> q.query_id)) where rank <= 5""")
 def euclid_second_round_preferred(spark, sf_dir):
-    q, e = _asked(spark, sf_dir)
-    found = vectors.scored(q, e, vectors.euclidean(F.col("embedding"), F.col("qv"))).where("vec_id <> query_id").withColumn("qualified", F.col("label") == F.col("query_label"))
-    return vectors.top(found, "query_id", 5, F.desc("qualified"), F.round("score", 6), F.col("vec_id")).select("query_id", "vec_id", "qualified", F.round("score", 5).alias("distance"), "rank")
+    found = vectors.nearest_preferred(*_asked(spark, sf_dir), 5)
+    return found.select("query_id", "vec_id", "qualified", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query(f"select q.query_id, e.label, round(min(1 - {_KNN}), 5) as distance, min(1 - {_KNN}) < 0.7 as linked from embeddings e, {_ASK} q where e.vec_id <> q.query_id group by q.query_id, e.label")
+@query(f"""select q.query_id, e.label, round(min(1 - {_KNN}), 5) as distance, min(1 - {_KNN}) < 0.7 as linked
+    from embeddings e, {_ASK} q where e.vec_id <> q.query_id group by q.query_id, e.label""")
 def value_linker_threshold(spark, sf_dir):
-    q, e = _asked(spark, sf_dir)
-    found = vectors.scored(q, e, 1 - vectors.cosine(F.col("embedding"), F.col("qv"))).where("vec_id <> query_id")
-    return found.groupBy("query_id", "label").agg(F.round(F.min("score"), 5).alias("distance"), (F.min("score") < 0.7).alias("linked"))
+    found = vectors.least_by(*_asked(spark, sf_dir), lambda x: x[1], by_query=True)
+    return found.select(F.col("key").alias("query_id"), F.col("value").cast("int").alias("label"), F.round("distance", 5).alias("distance"), (F.col("distance") < 0.7).alias("linked"))
 
 
-@query(f"select label, value, round(distance, 5) as distance, cast(rank as int) as rank from (select *, row_number() over (partition by label order by distance, value) as rank from (select e.label, e.vec_id % 50 as value, min(round(1 - {_KNN}, 6)) as distance from embeddings e, {_ASK} q where e.vec_id <> q.query_id group by 1, 2)) where rank <= 5")
+@query(f"""select label, value, round(distance, 5) as distance, cast(rank as int) as rank from (
+    select *, row_number() over (partition by label order by distance, value) as rank from (
+      select e.label, e.vec_id % 50 as value, min(round(1 - {_KNN}, 6)) as distance from embeddings e, {_ASK} q where e.vec_id <> q.query_id group by 1, 2)) where rank <= 5""")
 def knn_join_merge_dedupe(spark, sf_dir):
-    q, e = _asked(spark, sf_dir)
-    found = vectors.scored(q, e, F.round(1 - vectors.cosine(F.col("embedding"), F.col("qv")), 6)).where("vec_id <> query_id").select("label", (F.col("vec_id") % 50).alias("value"), F.col("score").alias("distance"))
+    found = vectors.least_by(*_asked(spark, sf_dir), lambda x: x[0] % 50, by_query=False)
+    found = found.select(F.col("key").cast("int").alias("label"), "value", F.round("distance", 6).alias("distance"))
     return vectors.merged(found, ["label"], "value", "distance", 5).withColumn("distance", F.round("distance", 5))
 
 
@@ -380,7 +417,8 @@ def slot_aligned_before_after(spark, sf_dir):
 
 @query("select doc_id, count(*) as copies from documents group by doc_id")
 def streaming_first_seen(spark, sf_dir):
-    return first_seen(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]).withColumn("copies", F.lit(1).cast("long"))
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    return first_seen(rows, ["doc_id"]).join(rows.groupBy("doc_id").agg(F.count("*").alias("copies")), "doc_id")
 
 
 @query("select event_type, cast(epoch(time_bucket(interval '1 hour', ts)) as bigint) as start_s, count(*) as n, round(sum(value), 4) as value from events group by 1, 2")
@@ -396,16 +434,57 @@ def ddl_columns(spark, sf_dir):
     return spark.sql("select x.* from ddl_texts, lateral parse_ddl(ddl) x")
 
 
-@query()
+@query("""select * from (values ('customer', 'c_custkey'), ('customer', 'c_nationkey'), ('lineitem', 'l_discount'), ('lineitem', 'l_extendedprice'), ('lineitem', 'l_orderkey'),
+    ('nation', 'n_name'), ('nation', 'n_nationkey'), ('orders', 'o_custkey'), ('orders', 'o_orderkey')) v(table_name, column_name)""")
 def lineage_columns(spark, sf_dir):
     text = spelt("region_revenue", "spark")
     views(spark, sf_dir, text)
     return spark.createDataFrame(lineages.lineage(spark.sql(text)), "table_name string, column_name string")
 
 
-@query()
+_SCOPED = [
+    ("with a as (select * from orders), b as (select * from a) select * from b join nation on exists (select 1 from a, region)", "nation,orders,region"),
+    ("select * from (select * from part) p, supplier", "part,supplier"), ("select 1", ""),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{q}', '{t}')" for q, t in _SCOPED) + ") v(sql, tables)")
+def physical_tables(spark, sf_dir):
+    return spark.createDataFrame([(q, ",".join(lineages.tables(spark, q))) for q, _ in _SCOPED], "sql string, tables string")
+
+
+#: Texts, and what of them is in nation (n_name, n_regionkey): status, reason, shares of tables and columns.
+_LINKED = [
+    ("select n_name from nation", "available", None, 1.0, 1.0), ("select n.n_name, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey", "available", None, 0.5, 0.5),
+    ("select * from nation", "unknown", "unresolved_or_wildcard_column", 1.0, None), ("select n_name from nation join region using (x)", "unknown", "implicit_join_columns_unresolved", 0.5, None),
+    ("with a as (select 1 x) select x from a", "unknown", "unresolved_query_lineage", None, None), ("select a from x.y", "unknown", "schema_qualified_table_unresolved", None, None),
+    ("select n_name as k from nation order by k", "unknown", "unresolved_or_wildcard_column", 1.0, None), ("values (1)", "unknown", "unsupported_query_structure", None, None), ("selec", "unknown", "parse_unavailable", None, None),
+]
+_sql = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+@query("select sql, status, reason, cast(table_coverage as double) as table_coverage, cast(column_coverage as double) as column_coverage from (values " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _LINKED) + ") v(sql, status, reason, table_coverage, column_coverage)")
+def schema_coverage(spark, sf_dir):
+    linked = {"nation": ["n_name", "n_regionkey"]}
+    made = [(r[0], *(lineages.coverage(spark, r[0], linked)[c] for c in ("status", "reason", "table_coverage", "column_coverage"))) for r in _LINKED]
+    return spark.createDataFrame(made, "sql string, status string, reason string, table_coverage double, column_coverage double")
+
+
+_READS = [
+    "select 1", "with a as (select 1) select * from a", "values (1), (2)", "select a from t union all select b from u except select c from v", "table t", "from t select a",
+    "select * from t pivot (sum(x) for y in (1, 2))", "select * from t lateral view explode(a) x as y", "select a, count(*) over (partition by b) from t having a > 1",
+]
+_CHANGES = [
+    "drop table t", "insert into t values (1)", "select 1; select 2", "create table t as select 1", "load data inpath ''/x'' into table t", "analyze table t compute statistics", "msck repair table t",
+    "refresh table t", "comment on table t is ''x''", "alter table t rename to u", "alter table t add columns (x int)", "alter table t set tblproperties (''a''=''b'')", "uncache table t", "set var x = 1",
+    "execute immediate ''drop table t''", "begin drop table t; end", "call p()", "show tables", "describe t", "select reflect(''java.lang.System'', ''exit'', 1)", "truncate table t", "delete from t",
+    "merge into t using u on t.a = u.a when matched then delete", "update t set a = 1", "use x", "from t insert into u select a", "insert overwrite directory ''/x'' using parquet select 1", "selec",
+]
+
+
+@query("select * from (values " + ", ".join(f"('{t}', {x})" for x, texts in (("true", _READS), ("false", _CHANGES)) for t in texts) + ") v(sql, read_only)")
 def read_only_guard(spark, sf_dir):
-    texts = ["select 1", "with a as (select 1) select * from a", "drop table t", "insert into t values (1)", "select 1; select 2", "create table t as select 1", "values (1), (2)"]
+    texts = [t.replace("''", "'") for t in _READS + _CHANGES]
     return spark.createDataFrame([(t, lineages.read_only(spark, t)) for t in texts], "sql string, read_only boolean")
 
 
@@ -416,12 +495,15 @@ def tagged_sql_extract(spark, sf_dir):
 
 
 _PROFILE = """Database ID: `a`
+Database Type: SQLITE
 Schema:
 - Table: `s`
 [
 (`id`: int | Primary Key | the key | Value Statistics: 0 NULL values, 2 distinct values, 2 total values | Value Examples: ['1', '2']),
 (`t_id`: int)
 ]
+Nested Fields (accessible via UNNEST):
+  - id.part: string
 - Table: `t`
 [
 (`id`: int | Primary Key)
@@ -434,8 +516,15 @@ Foreign Keys:
 `s`.`t_id` = `t`.`id`"""
 
 
-@query("select 'a' as db_id, cast(lvl as int) as level, profile from (values (0, 100, '" + _PROFILE.replace("'", "''") + "'), (1, 85, '" + _PROFILE.replace(" | Value Statistics: 0 NULL values, 2 distinct values, 2 total values | Value Examples: ['1', '2']", "").replace("'", "''") + "'), (4, 10, null)) v(lvl, budget, profile)")
+_SHORTER = _PROFILE.replace(" | Value Statistics: 0 NULL values, 2 distinct values, 2 total values | Value Examples: ['1', '2']", "")
+_FLAT = _SHORTER.replace("Nested Fields (accessible via UNNEST):\n  - id.part: string\n", "")
+_BUDGETS = [len(t.strip()) // 4 for t in (_PROFILE, _SHORTER, _FLAT, _FLAT.replace(" | the key", ""))] + [10]
+_told = lambda text: "null" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+@query("select 'a' as db_id, cast(lvl as int) as level, profile from (values " + ", ".join(f"({i}, {_told(t)})" for i, t in ((0, _PROFILE), (1, _SHORTER), (2, _FLAT), (3, _FLAT.replace(" | the key", "")), (4, None))) + ") v(lvl, profile)")
 def schema_profile_levels(spark, sf_dir):
+    """The text at each level, by budgets that fit just that one."""
     names = "db_id string, table_name string, ordinal int, column_name string, data_type string, is_pk boolean, description string, null_count int, distinct_count int, total_count int, value_examples array<string>"
     rows = [
         ("a", "s", 0, "t_id", "int", False, None, None, None, None, None), ("a", "s", 1, "id", "int", True, "the key", 0, 2, 2, ["1", "2"]), ("a", "s", 2, "old", "int", False, "Value Description: unuseful", None, None, None, None),
@@ -443,4 +532,5 @@ def schema_profile_levels(spark, sf_dir):
     ]
     fks = spark.createDataFrame([("a", "s", "t_id", "t", "id"), ("a", "s", "old", "t", "id"), ("a", "s", "id", "z", "id")], "db_id string, table_name string, column_name string, ref_table string, ref_column string")
     columns = spark.createDataFrame(rows, names)
-    return profile.union_all([schema_text.fitting(columns, fks, most) for most in (110, 90, 10)])
+    nested = spark.createDataFrame([("a", "s", "id.part", "string")], "db_id string, table_name string, name string, data_type string")
+    return profile.union_all([schema_text.fitting(columns, fks, most, nested) for most in _BUDGETS])

@@ -230,6 +230,84 @@ TEXTS = {
     "synthetic_sort_limit": "select id, amount from records order by amount desc, id limit 10",
     "synthetic_empty_result": "select id, payload from records where id < 0",
 }
+TEXTS |= {
+    "side_tables_joined": """
+        select d.doc_id, d.lang, l.quality, e.label, c.turns from documents d left join labels l on l.doc_id = d.doc_id left join embeddings e on e.vec_id = d.doc_id
+          left join (select conv_id, count(*) as turns from conversations group by conv_id) c on c.conv_id = d.doc_id""",
+    "broadcast_lookup": "select /*+ broadcast(n) */ s.s_suppkey, n.n_name from supplier s join nation n on n.n_nationkey = s.s_nationkey",
+    "scoped_catalog": "select n_nationkey, n_name from nation n where exists (select 1 from region r where r.r_regionkey = n.n_regionkey and r.r_regionkey in (1, 3))",
+    "latest_and_finished": """
+        select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) x where r = 1 and event_type <> 'view'""",
+    "casefold_order": """
+        select n_name, cast(row_number() over (order by lower(n_name), n_name) as int) as place,
+          cast(row_number() over (partition by n_regionkey order by case when n_nationkey % 5 = 0 then 0 else 1 end, lower(n_name), n_name) as int) as keys_first from nation""",
+    "subset_test": "select o_custkey, sum(case when o_orderstatus in ('O', 'F') then 0 else 1 end) = 0 as inside from orders group by o_custkey",
+    "ordered_dedupe": """
+        select lang, source, min(doc_id) as first_id, cast(row_number() over (partition by lang order by min(doc_id)) as int) as place from documents group by lang, source""",
+    "shape_agreement": """
+        select d.lang, count(*) as rows_a, count(l.doc_id) as rows_b, count(*) = count(l.doc_id) as row_count_equal, 3 = 3 as column_count_equal
+        from documents d left join labels l on l.doc_id = d.doc_id group by d.lang""",
+    "canonical_hashes": "select doc_id, {sha1(text)|sha1(text)} as by_sha1, {sha2(concat(lang, ':', text), 256)|sha256(concat(lang, ':', text))} as by_sha256 from documents",
+    "date_arithmetic": """
+        select o_orderkey, {unix_date(cast(o_orderdate as date))|date_diff('day', date '1970-01-01', cast(o_orderdate as date))} + 719163 as ordinal,
+          {datediff(cast(o_orderdate as date), date '1992-01-01')|date_diff('day', date '1992-01-01', cast(o_orderdate as date))} as days from orders""",
+    "number_helpers": """
+        select l_orderkey, l_linenumber, abs(l_discount - 0.05) < 0.011 as near, greatest(-1.0, least(1.0, l_quantity - 25.0)) as clipped,
+          cast(floor(l_extendedprice / 100) as bigint) as low, cast(ceil(l_extendedprice / 100) as bigint) as high from lineitem""",
+    "exact_rates": """
+        with r as (select d.lang, count(*) as n, cast(sum(l.quality) as bigint) as k from documents d join labels l on l.doc_id = d.doc_id group by d.lang)
+        select a.lang, b.lang as other, a.k * b.n > b.k * a.n as higher, a.k * b.n = b.k * a.n as equal from r a join r b on a.lang < b.lang""",
+    "array_operations": """
+        select n_nationkey, {array_join(array_sort(array_distinct(array(n_regionkey, n_nationkey, 3, 3))), '-')|array_to_string(list_sort(list_distinct([n_regionkey, n_nationkey, 3, 3])), '-')} as sorted,
+          {array_contains(array(1, 2, 3), n_regionkey)|list_contains([1, 2, 3], n_regionkey)} as known, {array_join(slice(array(n_regionkey, n_nationkey, 7), 2, 2), ',')|array_to_string([n_regionkey, n_nationkey, 7][2:3], ',')} as cut from nation""",
+    "map_operations": """
+        select n_nationkey, {coalesce(try_element_at(map_concat(map('a', 1), map('b', n_regionkey)), 'b'), -1)|coalesce(map_concat(map(['a'], [1]), map(['b'], [n_regionkey]))['b'], -1)} as b,
+          {coalesce(try_element_at(map('a', n_regionkey), 'c'), -1)|coalesce(map(['a'], [n_regionkey])['c'], -1)} as missing from nation""",
+    "hinted_question": "select conv_id, turn, case when role = 'user' then concat(text, chr(10), 'Hint: ', role) else text end as question from conversations",
+    "encodings": "select r_regionkey, {base64(cast(r_name as binary))|base64(encode(r_name))} as b64, {hex(cast(r_name as binary))|hex(encode(r_name))} as hexed, {cast(unbase64(base64(cast(r_name as binary))) as string)|decode(from_base64(base64(encode(r_name))))} as back from region",
+    "wildcards": "select n.*, r.r_name from nation n join region r on r.r_regionkey = n.n_regionkey",
+    "json_operators": """
+        select event_id, {cast(get_json_object(props, '$.k') as bigint)|cast(props ->> '$.k' as bigint)} as k, {size(json_object_keys(props))|cast(len(json_keys(props)) as int)} as keys from events""",
+    "quoted_names": "select {`n`.`n_name`|\"n\".\"n_name\"} as {`the_name`|\"the_name\"} from nation as {`n`|\"n\"}",
+    "structs_unnested": """
+        select x.k, x.v, n_regionkey from (select n_regionkey, {explode(array(named_struct('k', n_nationkey, 'v', n_name), named_struct('k', -1, 'v', 'none')))|unnest([struct_pack(k := n_nationkey, v := n_name), struct_pack(k := -1, v := 'none')])} as x from nation) t""",
+    "annotation_ids": """
+        select n_name, concat('T', cast(dense_rank() over (order by n_regionkey) as {string|varchar})) as table_id,
+          concat('T', cast(dense_rank() over (order by n_regionkey) as {string|varchar}), '.C', cast(row_number() over (partition by n_regionkey order by n_nationkey) as {string|varchar})) as column_id from nation""",
+    "rounds_merged": """
+        select d.doc_id, 'reused' as origin, l.quality from documents d join labels l on l.doc_id = d.doc_id where l.quality is not null
+        union all select d.doc_id, 'new', cast(null as bigint) from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality is not null)""",
+    "gold_status": """
+        select d.source, case when l.doc_id is null then 'missing' when l.quality is null then 'unknown' else 'available' end as status, count(*) as n
+        from documents d left join labels l on l.doc_id = d.doc_id group by d.source, case when l.doc_id is null then 'missing' when l.quality is null then 'unknown' else 'available' end""",
+    "integrity_audit": """
+        select 'documents' as tbl, count(*) as n, count(distinct doc_id) as ids, count(*) - count(text) as nulls from documents
+        union all select 'labels', count(*), count(distinct doc_id), count(*) - count(quality) from labels union all select 'benchmark', count(*), count(distinct item_id), count(*) - count(text) from benchmark""",
+    "fingerprints_agree": """
+        with a as (select doc_id, md5(text) as h from documents), b as (select doc_id, md5(concat(text, case when doc_id % 50 = 0 then 'x' else '' end)) as h from documents)
+        select count(*) as checked, sum(case when a.h = b.h then 0 else 1 end) as differing, min(case when a.h <> b.h then a.doc_id end) as first_differing from a join b on a.doc_id = b.doc_id""",
+    "verified_by_recomputation": """
+        select count(*) as differing from ((select lang, count(*) as n from documents group by lang) except all (select distinct lang, count(*) over (partition by lang) as n from documents)) x""",
+    "paired_records": """
+        with native as (select doc_id, quality from labels), variant as (select doc_id, toxic from labels where doc_id % 2 = 0)
+        select d.source, count(*) as tasks, count(n.doc_id) as native, count(v.doc_id) as variant, sum(case when n.doc_id is not null and v.doc_id is not null then 1 else 0 end) as paired,
+          sum(case when v.doc_id is not null and n.doc_id is null then 1 else 0 end) as broken from documents d left join native n on n.doc_id = d.doc_id left join variant v on v.doc_id = d.doc_id group by d.source""",
+    "group_summary": """
+        select d.lang, count(*) as n, round(100.0 * avg(l.quality), 6) as ex_pct, cast(sum(d.n_chars) as bigint) as chars, round(avg(cast(d.n_chars as double)), 4) as mean_chars,
+          round({percentile(d.n_chars, 0.5)|quantile_cont(d.n_chars, 0.5)}, 4) as median_chars, count(distinct d.source) as sources from documents d left join labels l on l.doc_id = d.doc_id group by d.lang""",
+    "filter_then_link": """
+        with kept as (select p_size as item, p_brand from part where p_partkey % 2 = 0), linked as (select p_size as item, p_brand from part where p_partkey % 3 = 0), gold as (select distinct p_size as item, p_brand from part where p_partkey % 6 = 0)
+        select g.item, count(*) as gold, sum(case when exists (select 1 from kept k where k.item = g.item and k.p_brand = g.p_brand) then 1 else 0 end) as after_filter,
+          sum(case when exists (select 1 from linked l where l.item = g.item and l.p_brand = g.p_brand) then 1 else 0 end) as after_link from gold g group by g.item""",
+    "next_nodes": """
+        with done as (select o_custkey as item, count(*) as n from orders where o_orderstatus = 'F' group by o_custkey)
+        select c.c_custkey as item, case when coalesce(n, 0) = 0 then 'linking' when n = 1 then 'decomposition' when n <= 3 then 'generation' when n <= 5 then 'revision' else 'finished' end as next_node
+        from customer c left join done d on d.item = c.c_custkey""",
+    "stage_metrics": """
+        select d.lang, sum(case when l.quality = 0 and l.toxic = 0 then 1 else 0 end) as repaired, sum(case when l.quality = 1 and l.toxic = 1 then 1 else 0 end) as harmed,
+          sum(case when l.quality = 1 and l.toxic = 0 then 1 else 0 end) as kept_correct, sum(case when l.quality is null or l.toxic is null then 1 else 0 end) as unknown_pairs
+        from documents d join labels l on l.doc_id = d.doc_id group by d.lang""",
+}
 _RECORDS = {
     "spark": "with records as (select id, id % 97 as group_id, concat('cat_', id % 11) as category, cast(round((cast(id as decimal(12,2)) * 1.37) % 1000, 3) as double) as amount, concat('payload_', lpad(cast(id as string), 6, '0')) as payload from range(20000)) ",
     "duckdb": "with records as (select range as id, range % 97 as group_id, 'cat_' || (range % 11) as category, cast(round((cast(range as decimal(12,2)) * 1.37) % 1000, 3) as double) as amount, 'payload_' || lpad(cast(range as varchar), 6, '0') as payload from range(20000)) ",
