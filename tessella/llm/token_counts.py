@@ -10,7 +10,9 @@ Null and empty texts have no tokens. Repeated rows and doc_ids are counted row b
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +22,22 @@ from .common import raw_text, sliced
 from .word_tokens import word_tokens
 
 #: Characters of a chunk and of its overlap with the next at first, and tokens that must agree on either side of a splice.
-CHUNK, OVERLAP, RUN = 8_192, 256, 2
+CHUNK, OVERLAP, RUN = 16_384, 256, 2
 
-Token = tuple[int, int, int]
+
+@dataclass
+class Chunk:
+    """The tokens of a text from place `low` on: ids, and where each begins and ends, counted from low. What lies before token `skip` is another chunk's."""
+
+    low: int
+    ids: list[int]
+    places: list[tuple[int, int]]
+    skip: int = 0
+
+    def around(self, k: int) -> list[tuple[int, int, int]]:
+        """RUN tokens on either side of the beginning of token k, in the text's own places."""
+        own = range(k - RUN, k + RUN)
+        return [(self.ids[x], self.places[x][0] + self.low, self.places[x][1] + self.low) for x in own]
 
 
 class Library:
@@ -40,13 +55,13 @@ class Library:
 
             self.kind, self.own = "model", sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def spans(self, text: str) -> list[Token]:
-        """(id, start, end) of each token, in characters."""
+    def chunk(self, text: str, low: int = 0, high: int | None = None) -> Chunk:
+        """The tokens of text[low:high]."""
         if self.kind == "json":
-            found = self.own.encode(text, add_special_tokens=False)
-            return [(i, *at) for i, at in zip(found.ids, found.offsets)]
-        found = self.own.encode(text, return_type="offset_mapping")
-        return [(i, *at) for i, at in zip(found["ids"], found["offsets"])]
+            found = self.own.encode(text[low:high], add_special_tokens=False)
+            return Chunk(low, found.ids, found.offsets)
+        found = self.own.encode(text[low:high], return_type="offset_mapping")
+        return Chunk(low, found["ids"], found["offsets"])
 
     def parts(self, text: str, at: int) -> bool:
         """Whether no token can cross place `at`: a word begins there, by a sentencepiece with its blank."""
@@ -63,56 +78,63 @@ class Library:
         return len(self.own.encode(text, num_threads=1))
 
 
-def splice(library: Library, text: str, left: list[Token], right: list[Token], low: int, high: int) -> tuple[int, int] | None:
-    """Places in left and right where the first proven common boundary lies, both lists in the text's own offsets;
-    None if there is none in the overlap [low, high)."""
-    places = {t[1]: k for k, t in enumerate(right)}
-    for i, (_, start, _) in enumerate(left):
-        if i < RUN or i + RUN > len(left) or start <= low or left[i + RUN - 1][2] >= high or not library.parts(text, start):
-            continue
-        j = places.get(start)
-        if j is not None and j >= RUN and left[i - RUN : i + RUN] == right[j - RUN : j + RUN]:
+def splice(library: Library, text: str, left: Chunk, right: Chunk, low: int, high: int) -> tuple[int, int] | None:
+    """Tokens of left and right that begin at the first proven common boundary; None if there is none in the overlap [low, high). Only the
+    overlap's tokens are looked at."""
+    begins = {}
+    for k, (start, _) in enumerate(right.places):
+        if start + right.low >= high:
+            break
+        begins[start + right.low] = k
+    first = bisect_right(left.places, low - left.low, key=lambda t: t[0])
+    for i in range(max(first, left.skip + RUN), len(left.ids) - RUN + 1):
+        start = left.places[i][0] + left.low if i < len(left.ids) else high
+        if i + RUN > len(left.ids) or left.places[i + RUN - 1][1] + left.low >= high:
+            break
+        j = begins.get(start)
+        if j is not None and j >= RUN and j + RUN <= len(right.ids) and library.parts(text, start) and left.around(i) == right.around(j):
             return i, j
     return None
 
 
-def pieces(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[Token]]:
-    """The tokens of a text by chunks, the same as of the whole, some at a time; an empty list, and no more, if no place proves a splice."""
-    at, own, wide = 0, library.spans(text[:chunk]), overlap
+def pieces(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[Chunk, int, int]]:
+    """The tokens of a text by chunks, the same as of the whole: chunk, first token, last token and one; none, and no more, if no place proves a splice."""
+    at, own, wide = 0, library.chunk(text, 0, chunk), overlap
     end = min(len(text), chunk)
     while end < len(text):
         low = max(at, end - wide)
         stop = min(len(text), low + chunk + wide)
-        new = [(i, a + low, b + low) for i, a, b in library.spans(text[low:stop])]
+        new = library.chunk(text, low, stop)
         if found := splice(library, text, own, new, low, end):
-            yield own[: found[0]]
-            own, at, end, wide = new[found[1] :], new[found[1]][1], stop, overlap
+            yield own, own.skip, found[0]
+            new.skip = found[1]
+            own, at, end, wide = new, new.places[found[1]][0] + low, stop, overlap
         elif low > at:
             wide *= 2
         else:  # no place that both chunks prove
-            yield []
+            yield own, 0, 0
             return
-    if own:
-        yield own
+    if len(own.ids) > own.skip:
+        yield own, own.skip, len(own.ids)
 
 
 def spliced(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     """Ids of a text by chunks: the same as of the whole."""
     ids: list[int] = []
-    for some in pieces(library, text, chunk, overlap):
-        if not some:
-            return [t[0] for t in library.spans(text)]
-        ids += [t[0] for t in some]
+    for own, first, last in pieces(library, text, chunk, overlap):
+        if first == last:
+            return library.chunk(text).ids
+        ids += own.ids[first:last]
     return ids
 
 
 def spliced_count(library: Library, raw: bytes, chunk: int = CHUNK) -> int:
     """How many ids spliced() gives; no more than a chunk's are held, and of a text that can't be spliced their number only."""
     n = 0
-    for some in pieces(library, raw.decode("utf-8", "replace"), chunk):
-        if not some:
+    for _, first, last in pieces(library, raw.decode("utf-8", "replace"), chunk):
+        if first == last:
             return library.count(raw)
-        n += len(some)
+        n += last - first
     return n
 
 

@@ -344,9 +344,10 @@ def test_splices(path, rows):
     library = token_counts.Library(path)
     texts = [max((t or "" for _, t in rows), key=len)[:30_000], "a" * 3000 + " b c d e f " * 200, "é à" * 900, "  \n" * 500 + "x" * 700 + " <|endoftext|> " * 100]
     for t in texts:
-        want = [i for i, _, _ in library.spans(t)]
+        want = library.chunk(t).ids
         for chunk, overlap in ((700, 40), (300, 8), (5000, 100)):
             assert token_counts.spliced(library, t, chunk, overlap) == want
+        assert token_counts.spliced_count(library, t.encode(), 700) == len(want)
 
 
 def test_quality(spark, sf):
