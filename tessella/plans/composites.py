@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from ..operators import evaluation, profile
 from ..operators import vectors as search
-from ..sources import sinks, table, views, workspace
+from ..sources import catalogs, sinks, table, views, workspace
 from . import execute as runs
 from .registry import query
 
@@ -426,3 +426,75 @@ def sqlite_scan(spark, sf_dir):
     if refused.state != "execution_error" or done.rows is None:
         raise ValueError(f"{refused.state}, {done.error}")
     return done.rows.toDF("n_nationkey", "n_name", "loud")
+
+
+@query("select 'nation' as table_name, n_name as column_name, case when n_nationkey % 2 = 0 then 'int' else 'text' end as column_type, n_nationkey % 3 = 0 as primary_key, case when n_nationkey % 5 = 0 then 1 else 0 end as n_keys, 'Column Description: of ' || n_regionkey as description from nation")
+def strict_metadata_scan(spark, sf_dir):
+    """Metadata with types, flags and pairs of keys, written as CSV and read with all its checks."""
+    path = workspace(spark, "strict")
+    n = table(spark, sf_dir, "nation")
+    rows = n.select(
+        F.col("n_name").alias("original_column_name"), F.when(F.col("n_nationkey") % 2 == 0, "int").otherwise("text").alias("data_format"), F.when(F.col("n_nationkey") % 3 == 0, "Yes").otherwise("no").alias("primary_key"),
+        F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit('[["region", "'), F.col("n_regionkey").cast("string"), F.lit('"]]'))).otherwise("").alias("foreign_keys"), F.concat(F.lit("of "), F.col("n_regionkey").cast("string")).alias("column_description"),
+    )
+    rows.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    found = catalogs.strict_metadata(spark, path)
+    return found.select(F.lit("nation").alias("table_name"), "column_name", "column_type", "primary_key", F.size("foreign_keys").alias("n_keys"), "description")
+
+
+@query("select lower(n_name) as column_key, 'geo|T' || n_regionkey || '|' || n_name as source_key, 't' || n_regionkey as table_key, 'name ' || n_nationkey as description from nation")
+def column_meaning_scan(spark, sf_dir):
+    path = workspace(spark, "meanings")
+    key = F.concat(F.lit("geo|T"), F.col("n_regionkey").cast("string"), F.lit("|"), F.col("n_name"))
+    rows = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct(key, F.concat(F.lit("name "), F.col("n_nationkey").cast("string"))))).alias("m"))  # a small catalog's one object
+    rows.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    return catalogs.column_meanings(spark, path).select("column_key", "source_key", "table_key", "description")
+
+
+@query("select 'r' || n_regionkey as table_name, n_name as column_name, case when n_nationkey % 2 = 0 then 'INT64' else 'STRING' end as column_type, 'about ' || n_nationkey as description, 'v' || n_nationkey as examples from nation")
+def cloud_table_scan(spark, sf_dir):
+    """A JSON file a table, its columns in lists and its rows as samples."""
+    path = workspace(spark, "cloud")
+    n = table(spark, sf_dir, "nation")
+    own = F.sort_array(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("c"), F.when(F.col("n_nationkey") % 2 == 0, "INT64").otherwise("STRING").alias("k"))))
+    lists = n.groupBy("n_regionkey").agg(own.alias("x")).select(
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("table_name"), F.concat(F.lit("geo.r"), F.col("n_regionkey").cast("string")).alias("table_fullname"),
+        F.transform("x", lambda c: c["c"]).alias("column_names"), F.transform("x", lambda c: c["k"]).alias("column_types"), F.transform("x", lambda c: F.concat(F.lit("about "), c["n_nationkey"].cast("string"))).alias("description"),
+        F.array(F.map_from_entries(F.transform("x", lambda c: F.struct(c["c"], F.concat(F.lit("v"), c["n_nationkey"].cast("string")))))).alias("sample_rows"),
+    )
+    lists.select("table_name", F.to_json(F.struct(*lists.columns)).alias("value")).withColumn("table", F.col("table_name")).select("table", "value").write.partitionBy("table").text(path)
+    found = catalogs.cloud_tables(spark, path)
+    return found.select("table_name", "column_name", "column_type", "description", F.array_join("value_examples", ",").alias("examples"))
+
+
+@query("select c.conv_id as task_key, case when c.conv_id % 4 = 3 then 'missing_reference' when c.conv_id % 4 = 2 then 'duplicate_reference' else 'available' end as status, case when c.conv_id % 4 < 2 then 'select ' || c.conv_id end as sql from (select distinct conv_id from conversations) c")
+def reference_bindings(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    bindings = c.select(F.col("conv_id").alias("task_key"), F.col("conv_id").cast("string").alias("external_id"), F.lit("db").alias("database_id"))
+    one = c.where("conv_id % 4 < 3").select(F.col("conv_id").cast("string").alias("external_id"), F.lit("db").alias("database_id"), F.create_map(F.lit("sol_sql"), F.concat(F.lit('["select '), F.col("conv_id").cast("string"), F.lit('"]'))).alias("record"))
+    return catalogs.references(bindings, one.union(one.where("cast(external_id as int) % 4 = 2"))).select("task_key", "status", "sql")
+
+
+@query("select cast(r_regionkey as varchar) as file, r_name || chr(10) || 'second line' as text from region")
+def external_documents(spark, sf_dir):
+    path = workspace(spark, "documents")
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("file"), F.concat("r_name", F.lit("\nsecond line")).alias("value"))
+    rows.repartition("file").write.partitionBy("file").text(path)
+    found = catalogs.whole_text(spark, path)
+    return found.select(F.regexp_extract("path", "file=(\\d+)", 1).alias("file"), F.regexp_replace("text", "\\n$", "").alias("text"))
+
+
+@query("select item_id as id, text from benchmark")
+def knowledge_lines(spark, sf_dir):
+    """JSON lines by an integer id, which may not repeat."""
+    path, rows = workspace(spark, "knowledge"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    rows.write.json(path)
+    return catalogs.json_records(spark, path, "id long, text string", ["id"])
+
+
+@query("select upper(n_name) as name, cast(1 as bigint) as lines from nation where n_nationkey < 3")
+def markdown_report(spark, sf_dir):
+    """A small report as a Markdown table, a row a line."""
+    text = sinks.markdown(table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.upper("n_name").alias("name"), F.lit(0.5).alias("share")))
+    lines = spark.createDataFrame([(x,) for x in text.split("\n")[2:]], "line string")
+    return lines.groupBy(F.regexp_extract("line", r"^\| (.+) \| 0\.50 \|$", 1).alias("name")).agg(F.count("*").alias("lines"))
