@@ -1,12 +1,14 @@
 """Nearest neighbours by largest inner product, from balanced posting lists.
 
 With the largest norm L of all vectors, x becomes (x, sqrt(L**2 - |x|**2)) and a query (q, 0): nearest by distance is then largest by
-inner product. The number of lists is the square root of the vectors', up to LISTS. Their centroids come from balanced k-means over at
+inner product; all x are of length L then, and so are centroids and, scaled, queries. The number of lists is the square root of the vectors', up to LISTS. Their centroids come from balanced k-means over at
 most SAMPLE vectors or PER_LIST a list (those of the smallest hash of vec_id), by two levels if there are more than FLAT: the square root
 of their number first, then each part's own share. Every vector is indexed: in the list of its nearest centroid, and in those of
 up to REPLICAS further ones that are hardly farther and not nearer to a list it is in already. A query searches a graph of the
-centroids, held in memory, best first, until what is left is farther than SLACK * NEAR times the smallest distance (and than the
-BEAM nearest), and takes the lists within NEAR times the smallest distance, however many, and further ones until they hold READ vectors.
+centroids, held in memory, best first, until what is left is farther than SLACK * near times the smallest distance (and than the
+BEAM nearest), and takes the lists within `near` times the smallest distance, however many, and further ones until they hold READ vectors.
+How far `near` must reach goes with the vectors (hardly at all where they cluster, far where they don't), so it is measured: ASKED vectors of the
+sample, each with its nearest ones there, would find FOUND of these. Neighbours in a sample are farther than among all, so that all fare better.
 
 Lists are dealt out in blocks by salted keys, as many as vectors and queries in them ask for, so that copies of one vector fill many
 blocks; each block gives a query's best k by a matrix product, and these meet by query_id. No list or block is capped.
@@ -33,7 +35,9 @@ from .common import sliced, stored
 SAMPLE, PER_LIST, LISTS, FLAT = 16_384, 8, 65_536, 512
 REPLICAS, CLOSE = 4, 1.08
 DEGREE, BEAM, NEAR = 24, 128, 1.16
-#: How much farther than NEAR the search goes, for lists that only farther ones lead to.
+#: Sample vectors by which `near` is measured, and the share of their neighbours that must be found.
+ASKED, FOUND = 512, 0.95
+#: How much farther than `near` the search goes, for lists that only farther ones lead to.
 SLACK = 1.1
 #: Vectors that a query reads at least, if there are so many.
 READ = 2_048
@@ -46,12 +50,13 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 20, weight: float = 0.2, seed: int = 3) -> np.ndarray:
-    """k-means whose assignment pays for lists that are fuller than the mean."""
+    """k-means of vectors of one length, whose centroids are of that length too, so that none is near to all for lying in their midst;
+    assignment pays for lists that are fuller than the mean."""
     draw = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
     k = min(k, len(distinct))
     c = distinct[draw.permutation(len(distinct))[:k]]
-    sizes = np.full(k, len(x) / k)
+    sizes, long = np.full(k, len(x) / k), np.sqrt((x[0] ** 2).sum())
     for _ in range(rounds):
         d = _square(x, c)
         fee = weight * np.median(d.min(1)) * (sizes / (len(x) / k) - 1)
@@ -59,8 +64,9 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 20, weight: float =
         sizes = np.bincount(own, minlength=k).astype(float)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
-        filled = sizes > 0
-        c[filled] = sums[filled] / sizes[filled, None]
+        size = np.sqrt((sums**2).sum(1))
+        filled = size > 1e-9 * long
+        c[filled] = sums[filled] * (long / size[filled])[:, None]
         c[~filled] = x[draw.integers(0, len(x), (~filled).sum())]
     return c
 
@@ -81,15 +87,35 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     counts: np.ndarray | None = None
+    near: float = NEAR
 
     @staticmethod
-    def of(sample: np.ndarray, top: float, n: int) -> Index:
+    def of(sample: np.ndarray, top: float, n: int, k: int = 20) -> Index:
         x = np.concatenate([sample, np.sqrt(np.maximum(top**2 - (sample**2).sum(1), 0))[:, None]], axis=1)
         c = centroids_of(x, lists_for(n))
         near = np.concatenate([np.argsort(_square(part, c), axis=1, kind="stable")[:, 1 : DEGREE + 1] for part in np.array_split(c, -(-(len(c) ** 2) // NUMBERS))])
         # a ring through all keeps the graph connected
         ring = (np.arange(len(c)) + 1) % len(c)
-        return Index(top, c, np.concatenate([near, ring[:, None]], axis=1))
+        made = Index(top, c, np.concatenate([near, ring[:, None]], axis=1))
+        made.near = made.reach(sample, int(np.clip(-(-k * len(sample) // n), 4, k)))
+        return made
+
+    def reach(self, sample: np.ndarray, k: int) -> float:
+        """How many times farther than the nearest centroid a list may be that FOUND of the sample's k nearest lie in."""
+        asked = np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int)
+        if len(sample) < 3:
+            return NEAR
+        q = sample[asked]
+        close = q @ sample.T
+        close[np.arange(len(q)), asked] = -np.inf
+        k = min(k, len(sample) - 1)
+        best = np.argpartition(-close, k - 1, axis=1)[:, :k]
+        far = np.sqrt(_square(np.append(q * (self.top / np.sqrt((q**2).sum(1)))[:, None], np.zeros((len(q), 1)), axis=1), self.centroids))
+        far /= np.maximum(far.min(1), 1e-12)[:, None]
+        distinct, place = np.unique(best, return_inverse=True)
+        lists = self.lists(sample[distinct])
+        needed = [far[i, lists[place.reshape(best.shape)[i, j]]].min() for i in range(len(q)) for j in range(k)]
+        return float(np.quantile(needed, FOUND))
 
     def lists(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: the nearest, and the boundary ones."""
@@ -111,8 +137,8 @@ class Index:
         return out
 
     def search(self, q: np.ndarray, least: int) -> np.ndarray:
-        """Lists to read for a query: best-first over the graph, those within NEAR of the nearest, and more until they hold `least` vectors."""
-        q = np.append(q, 0.0)
+        """Lists to read for a query: best-first over the graph, those within `near` of the nearest, and more until they hold `least` vectors."""
+        q = np.append(q * (self.top / np.sqrt((q**2).sum())), 0.0)  # as long as all others: its own length changes no order
         far = lambda ids: np.sqrt(((self.centroids[ids] - q) ** 2).sum(1))
         k = len(self.centroids)
         starts = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
@@ -127,12 +153,12 @@ class Index:
         heapq.heapify(best)
         while todo:
             d, c = heapq.heappop(todo)
-            if len(best) >= BEAM and d > max(worst, SLACK * NEAR * least_far):
+            if len(best) >= BEAM and d > max(worst, SLACK * self.near * least_far):
                 break
             new = self.graph[c][~seen[self.graph[c]]]
             seen[new] = True
             for dn, n in zip(far(new), new):
-                if len(best) < BEAM or dn <= max(worst, SLACK * NEAR * least_far):
+                if len(best) < BEAM or dn <= max(worst, SLACK * self.near * least_far):
                     heapq.heappush(todo, (dn, int(n)))
                     met.append((dn, int(n)))
                     least_far = min(least_far, dn)
@@ -146,7 +172,7 @@ class Index:
             found = sorted(zip(far(every), every))
         out, held = [], 0
         for d, c in found:
-            if d > NEAR * found[0][0] and held >= least:
+            if d > self.near * found[0][0] and held >= least:
                 break
             out.append(c)
             held += self.counts[c] if self.counts is not None else 0
@@ -214,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     sample = small.orderBy(order, "vec_id", "v").limit(wanted).select("v").toArrow()
     if sample.num_rows < min(wanted, total["n"]):
         sample = rows.orderBy(order, "vec_id", "v").limit(wanted).select("v").toArrow()
-    index = Index.of(_matrix(sample.column("v").combine_chunks()), total["top"], total["n"])
+    index = Index.of(_matrix(sample.column("v").combine_chunks()), total["top"], total["n"], k)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     counts = np.zeros(len(index.centroids), np.int64)
     for r in postings.groupBy("list").count().collect():  # LISTS rows at most
         counts[r["list"]] = r["count"]
-    full = spark.sparkContext.broadcast(Index(index.top, index.centroids, index.graph, counts))
+    full = spark.sparkContext.broadcast(Index(index.top, index.centroids, index.graph, counts, index.near))
     least = max(READ, (REPLICAS + 1) * (k + 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
