@@ -31,6 +31,13 @@ def _number(text: Column) -> Column:
     return F.when(short == "", "number:0").otherwise(F.concat(F.lit("number:"), sign, F.ltrim(short, F.lit("0")), F.lit("e"), ten.cast("string")))
 
 
+def _integer(c: Column) -> Column:
+    """As _number, of a long."""
+    text = c.cast("string")
+    short = F.rtrim(text, F.lit("0"))
+    return F.when(c == 0, "number:0").otherwise(F.concat(F.lit("number:"), short, F.lit("e"), (F.length(text) - F.length(short)).cast("string")))
+
+
 def _double(c: Column) -> Column:
     """A double's exact value m * 2**e, m odd: as a decimal if that has 38 digits or fewer, which any other number that equals it has; else as m and e."""
     spelt = F.format_string("%a", c)  # 0x1.mmmp-eee, below 2**-1022 with 0x0.
@@ -57,13 +64,15 @@ def _all(cells: Column) -> Column:
 
 def cell(c: Column, kind: T.DataType) -> Column:
     """A cell in canonical form; null if it can't be compared."""
-    if isinstance(kind, _INTEGERS) or isinstance(kind, T.DecimalType):
+    if isinstance(kind, _INTEGERS):
+        spelt = _integer(c.cast("bigint"))
+    elif isinstance(kind, T.DecimalType):
         spelt = _number(c.cast("string"))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         c = c.cast("double")
         finite = ~F.isnan(c) & (F.abs(c) != float("inf"))
         short = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        spelt = F.when(finite, F.when(short, _number(F.when(short, c).cast("bigint").cast("string"))).otherwise(_double(c)))
+        spelt = F.when(finite, F.when(short, _integer(F.when(short, c).cast("bigint"))).otherwise(_double(c)))
     elif isinstance(kind, T.BooleanType):
         spelt = F.concat(F.lit("bool:"), c.cast("string"))
     elif isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
