@@ -25,6 +25,7 @@ CHECKS = {
     "order_by_extreme": rf"(?is)ORDER BY ((MIN|MAX)\(\s*({NAME})\s*\)).*? LIMIT \d+",
     "qualified_wildcard": rf"(?ism)^SELECT.*? ({NAME}\.\*).*?FROM",
 }
+#: An ordered limit, totals in it, columns joined into one text, and a year compared with.
 ORDERED, TOTALS = r"ORDER BY .*?(?<!DESC )LIMIT +\d+;{0,1}", r"SUM\(|COUNT\("
 JOINED_NAMES = r"(?ism)^SELECT.*?\|\| ' ' \|\| .*?FROM"
 YEAR = r"(strftime *\([^\(]*?\) *[>=<]+ *)(\d{4,})"
@@ -246,7 +247,7 @@ def flag(text: Column) -> Column:
     return F.when(low.isin("true", "1", "yes", "y"), True).when(low.isin("", "false", "0", "no", "n"), False)
 
 
-#: Words of SQL that a skeleton keeps.
+#: Words of SQL that a skeleton keeps.
 KEPT = "select|from|where|group|by|order|having|limit|join|inner|left|right|full|on|and|or|not|in|is|null|like|between|union|all|intersect|except|distinct|as|case|when|then|else|end|count|sum|avg|min|max|asc|desc|exists"
 
 
