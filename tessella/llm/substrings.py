@@ -211,30 +211,32 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text(text)).select("doc_id", F.xxhash64("raw").alias("text_hash"), "raw")
 
 
-def _hits(docs: DataFrame, window: int, bits: int | None, text: str) -> DataFrame:
-    found = seeds(docs, window, bits, text)
-    return stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "ref", "ref_at")).alias("hits")), "seeds")
+def _parses(docs: DataFrame, window: int, bits: int | None, text: str) -> DataFrame:
+    """doc_id, text_hash, and its factors as at, words, ref, ref_at (arrays of equal length) of each document that has any."""
+    found = seeds(docs, window, bits, text).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "ref", "ref_at")).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            each = [parsed(list(zip(*hits)), window) for hits in zip(*(part.column(k).to_pylist() for k in range(2, 6)))]
+            columns = [_lists([np.array([f[k] for f in own], np.int64) for own in each], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "text_hash", "at", "words", "ref", "ref_at"])
+
+    hits = found.select("doc_id", "text_hash", *[F.col(f"h.{c}") for c in ("at", "n", "ref", "ref_at")])
+    return stored(hits.mapInArrow(run, "doc_id long, text_hash long, at array<long>, words array<long>, ref array<long>, ref_at array<long>"), "parses")
 
 
 def factors(docs: DataFrame, window: int = WINDOW, bits: int | None = None, text: str = "text") -> DataFrame:
     """doc_id, text_hash, at, words, ref, ref_at: the factors of each document: that many words from word `at` on are those from word ref_at of
     document ref on. Rows of equal doc_id and text give their factors once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
-            for doc, key, hits in zip(*(part.column(k).to_pylist() for k in range(3))):
-                found = parsed(list({tuple(h.values()) for h in hits}), window)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), pa.int64()) for x in (doc, key)] + [pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["doc_id", "text_hash", "at", "words", "ref", "ref_at"])
-
-    return _hits(docs, window, bits, text).mapInArrow(run, "doc_id long, text_hash long, at long, words long, ref long, ref_at long")
+    each = F.explode(F.arrays_zip("at", "words", "ref", "ref_at")).alias("f")
+    return _parses(docs, window, bits, text).select("doc_id", "text_hash", each).select("doc_id", "text_hash", "f.*")
 
 
-def covered(n: int, found: list[tuple[int, int, int, int]]) -> np.ndarray:
+def covered(n: int, at: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Whether each of n words lies in a factor."""
     turns = np.zeros(n + 1, np.int64)
-    for at, words, *_ in found:
-        turns[at] += 1
-        turns[at + words] -= 1
+    np.add.at(turns, at, 1)
+    np.add.at(turns, at + words, -1)
     return np.cumsum(turns)[:n] > 0
 
 
@@ -249,14 +251,14 @@ def digests(docs: DataFrame, window: int = WINDOW, bits: int | None = None, text
 
 
 def _removed(docs: DataFrame, window: int, bits: int | None, text: str, made, name: str) -> DataFrame:
-    rows = _keyed(docs, text).join(_hits(docs, window, bits, text), ["doc_id", "text_hash"], "left").select("doc_id", "raw", *[F.col(f"hits.{c}") for c in ("at", "n", "ref", "ref_at")])
+    rows = _keyed(docs, text).join(_parses(docs, window, bits, text).select("doc_id", "text_hash", "at", "words"), ["doc_id", "text_hash"], "left").select("doc_id", "raw", "at", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             counts, removed, out = [], [], []
-            for raw, *hits in zip(*(part.column(k).to_pylist() for k in range(1, 6))):
+            for raw, at, long in zip(*(part.column(k).to_pylist() for k in range(1, 4))):
                 words = raw.split()
-                gone = covered(len(words), parsed(list(zip(*hits)), window)) if hits[0] else None
+                gone = covered(len(words), np.array(at), np.array(long)) if at else None
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
                 counts.append(len(words))
                 removed.append(len(words) - len(kept))
