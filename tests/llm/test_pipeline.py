@@ -9,7 +9,7 @@ import corpus_pipeline
 from tessella.llm import byte_bpe, decontaminate, quality, secrets
 from tessella.llm.queries import BYTES
 
-from .test_near_copies import brute_kept
+from test_near_copies import brute_kept
 
 
 def test_stages(spark):
