@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from ..operators import evaluation, profile
 from ..operators import vectors as search
-from ..sources import catalogs, sinks, table, views, workspace
+from ..sources import catalogs, sinks, sqlite, table, views, workspace
 from . import execute as runs
 from .registry import query
 
@@ -409,16 +409,18 @@ def sample_context(spark, sf_dir):
 
 @query("select n_nationkey, n_name, upper(n_name) as loud from nation")
 def sqlite_scan(spark, sf_dir):
-    """A query that SQLite runs in a file of its own, read-only; a second that writes is refused."""
+    """A query that SQLite runs in a file of its own in the shared folder, read-only; a second that writes is refused."""
+    import os
     import sqlite3
-    import tempfile
 
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("the file must lie where executors see it")
-    path = f"{tempfile.mkdtemp()}/nation.sqlite"
+    folder = sqlite.plain(workspace(spark, "nation"))
+    if "://" in folder:
+        raise ValueError(f"SQLite can't open a file in {folder}")
+    os.makedirs(folder)
+    path = f"{folder}/nation.sqlite"
     with sqlite3.connect(path) as own:
         own.execute("create table nation (n_nationkey integer, n_name text)")
-        own.executemany("insert into nation values (?, ?)", [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()])
+        own.executemany("insert into nation values (?, ?)", (tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator()))
     own.close()
     where = {"kind": "sqlite", "path": path}
     refused = runs.execute(spark, "insert into nation values (99, 'x')", workspace(spark, "sqlite"), where)

@@ -8,14 +8,22 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 
+def plain(path: str) -> str:
+    """A path as SQLite opens it; the shared folder may be named by a file: URI."""
+    if not path.startswith("file:"):
+        return path
+    return unquote(urlsplit(path).path)
+
+
 def opened(path: str) -> sqlite3.Connection:
-    c = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    c = sqlite3.connect(f"file:{quote(plain(path))}?mode=ro", uri=True)
     c.text_factory = lambda raw: raw.decode("utf-8", "replace")
     return c
 
