@@ -31,6 +31,12 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+def rounded(c: str, places: int) -> Column:
+    """A double to some places as SQL engines round it: by its product with a power of ten. F.round goes by the decimal that it is spelt as,
+    which at a half may be on the other side."""
+    return F.round(F.col(c) * float(10**places), 0) / float(10**places)
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     size = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None]
     return np.divide(q @ x.T, size, out=np.full(size.shape, np.nan), where=size > 0)

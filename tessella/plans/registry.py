@@ -354,8 +354,8 @@ def value_linker_threshold(spark, sf_dir):
       select e.label, e.vec_id % 50 as value, min(round(1 - {_KNN}, 6)) as distance from embeddings e, {_ASK} q where e.vec_id <> q.query_id group by 1, 2)) where rank <= 5""")
 def knn_join_merge_dedupe(spark, sf_dir):
     found = vectors.least_by(*_asked(spark, sf_dir), lambda x: x[0] % 50, by_query=False)
-    found = found.select(F.col("key").cast("int").alias("label"), "value", F.round("distance", 6).alias("distance"))
-    return vectors.merged(found, ["label"], "value", "distance", 5).withColumn("distance", F.round("distance", 5))
+    found = found.select(F.col("key").cast("int").alias("label"), "value", vectors.rounded("distance", 6).alias("distance"))
+    return vectors.merged(found, ["label"], "value", "distance", 5).withColumn("distance", vectors.rounded("distance", 5))
 
 
 _COLUMNS = [("a", "id", True), ("a", "name", False), ("a", "b_id", False), ("b", "id", True), ("b", "v", False), ("c", "ID", True), ("c", "V", False), ("d", "x", True)]
