@@ -1,17 +1,18 @@
 """Near copies: texts whose sets of SHINGLE-word runs have a Jaccard similarity of ALIKE / OF or more; none is missed.
 
 Words are what ASCII white space separates after A-Z are lower-cased; a text of fewer words has one run of all. Equal sets are
-one node. By prefix filtering, two sets that similar share a run among the first (1 - ALIKE / OF) * n + 1 of each, in any order
+one node. Texts whose SimHash fingerprints (of all their runs, as simhash) differ by RADIUS bits or fewer are found by multi-index hashing,
+checked by their sets and linked. At this similarity fingerprints differ by about ten bits, for which multi-index hashing needs
+thousands of probes a fingerprint or buckets that grow with the corpus (README), so that an exact check of the rest follows.
+
+That goes by prefix filtering: two sets that similar share a run among the first (1 - ALIKE / OF) * n + 1 of each, in any order
 common to all sets; the order here puts runs that few texts have first, by counts in SLOTS slots, which bear on the cost only.
-Sets that meet there, and whose places allow the similarity, are compared whole: in turns each with one set it
-meets, then all that meet and aren't yet in one component. Linked texts form a component.
+Sets that meet there, whose places allow the similarity and which fingerprints haven't linked, are compared whole: in turns each with
+one set it meets, then all that meet and aren't yet in one component. Linked texts form a component.
 
 Runs meet by 64-bit hashes. What is kept of a whole set, and compared, is 32 bits of each, so that two runs of one text that share
 these count as one: some k**2 / 2**33 of k runs.
 
-SimHash can't stand in here: at this similarity fingerprints differ by about ten bits, for which multi-index hashing needs
-thousands of probes a fingerprint or buckets that grow with the corpus (README).
-
 Null and empty texts have the empty set and are near copies of each other. Other columns of the input are ignored.
 """
 
@@ -28,21 +29,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, raw_text, sliced, stored
+from . import simhash
+from .common import bounded, forget, raw_text, sliced, stored
 from .simhash import BLOCK, SEED, components
 
 SHINGLE = 5
 ALIKE, OF = 4, 5
-#: Counters of runs, numbers in a row of them, and rows that a prefix is handed on in.
-SLOTS, CHUNK, ROWS = 1 << 18, 4096, 1 << 16
+#: Bits by which fingerprints are linked.
+RADIUS = 4
+#: Counters of runs, numbers in a row of them.
+SLOTS, CHUNK = 1 << 18, 4096
+#: Runs of prefixes that a task packs at a time and that are met in one group, on average; how many of one run are compared pair by pair.
+ROWS, FEW = 1 << 18, 32
 #: Nodes that a task remembers; the share of a turn's pairs that must be similar for another turn.
 MET, WORTH = 1 << 20, 0.25
 #: Numbers of parities at most.
 WIDE = 256
 
 
-def runs(raw: bytes) -> np.ndarray:
-    """The sorted distinct hashes of a text's runs of words."""
+def hashes(raw: bytes) -> np.ndarray:
+    """The hashes of a text's runs of words, repeats included."""
     words = raw.lower().split()
     n = len(words)
     if not n:
@@ -57,7 +63,12 @@ def runs(raw: bytes) -> np.ndarray:
     for at in range(0, len(starts), BLOCK):
         spans = map(slice, starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist())
         each.append(np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(SEED)), np.uint64))
-    return np.unique(np.concatenate(each))
+    return np.concatenate(each)
+
+
+def runs(raw: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a text's runs of words."""
+    return np.unique(hashes(raw))
 
 
 def _row(text: str) -> Column:
@@ -89,7 +100,7 @@ def _levels(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row, doc_id, node (a number for each set), n (its size) of every row; runs (32 bits of each run's hash), first (the whole hashes of
+    """row, doc_id, node (a number for each set), n (its size), fp (the SimHash fingerprint) of every row; runs (32 bits of each run's hash), first (the whole hashes of
     those by which similar sets meet, in their order) and bits (parities) once at least for each node, else null: a task that met a node
     before leaves them out."""
     shared = docs.sparkSession.sparkContext.broadcast(_levels(docs, text))
@@ -99,10 +110,11 @@ def sets(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in sliced(batches):
             rows: list[tuple] = []
             for raw in part.column(2).to_pylist():
-                x = runs(raw)
+                every = hashes(raw)
+                x, fp = np.unique(every), simhash.majority([every])
                 node, n = xxhash.xxh64_intdigest(x.tobytes(), SEED), len(x)
                 if node in met:
-                    rows.append((node, n, None, None, None))
+                    rows.append((node, n, None, None, None, fp))
                     continue
                 if len(met) == MET:
                     met.clear()
@@ -110,27 +122,59 @@ def sets(docs: DataFrame, text: str = "text") -> DataFrame:
                 level = shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]
                 first = x[np.argsort(level, kind="stable")[: n - -(-ALIKE * n // OF) + 1]]
                 short = np.unique(x.astype(np.uint32))
-                rows.append((node, n, short.tobytes(), first.tobytes(), parities(short)))
+                rows.append((node, n, short.tobytes(), first.tobytes(), parities(short), fp))
             node = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+            fps = np.array([r[5] for r in rows], np.uint64).view(np.int64)
             rest = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.binary()), (3, pa.binary()), (4, pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), *rest], names=["row", "doc_id", "node", "n", "runs", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), *rest, pa.array(fps)], names=["row", "doc_id", "node", "n", "runs", "first", "bits", "fp"])
 
     kept = docs.select(_row(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), raw_text(text))
-    return kept.mapInArrow(run, "row long, doc_id long, node long, n long, runs binary, first binary, bits array<long>")
+    return kept.mapInArrow(run, "row long, doc_id long, node long, n long, runs binary, first binary, bits array<long>, fp long")
+
+
+def _meeting(key: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows, each once, whose set meets another at the same key with places that allow the similarity, as _may says. Of a key that over
+    FEW sets have all rows stay."""
+    order = np.lexsort((node, key))
+    key, node, n, place = (x[order] for x in (key, node, n, place))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, n, place = (x[new] for x in (key, node, n, place))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    size = np.repeat(sizes, sizes)
+    stays, left = size > FEW, n - place
+    at = np.flatnonzero((size > 1) & ~stays)
+    for step in range(1, FEW):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        other = at + step
+        may = np.minimum(left[at], left[other]) * (ALIKE + OF) >= (n[at] + n[other]) * ALIKE
+        stays[at[may]] = stays[other[may]] = True
+    return tuple(x[stays] for x in (key, node, n, place))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """key, node, n, place: the runs of each set by which similar ones meet; a key that one set only has is left out. A node comes once
-    from each task that read it."""
+    """key, node, n, place: the runs of each set by which similar ones meet, where they meet one that they may be similar to. Runs go packed,
+    24 bytes each, to groups by their hashes, in numbers that follow theirs."""
+    whole = rows.where("n > 0 and first is not null").select("node", "n", "first")
+    total = (whole.agg(F.sum(F.length("first"))).first()[0] or 0) // 8
+    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // ROWS)
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, node, n, place = (np.concatenate(x) for x in zip(*held))
+        own = key.view(np.uint64) % np.uint64(groups)
+        order = np.argsort(own, kind="stable")
+        numbers, starts = np.unique(own[order], return_index=True)
+        cut = [np.split(x[order], starts[1:]) for x in (key, node, n.astype(np.uint32), place.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array([b"".join(x.tobytes() for x in one) for one in zip(*cut)], pa.binary())], names=["own", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for part in sliced(batches):
-            out: list[tuple[np.ndarray, ...]] = []
-            held = 0
-
-            def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "node", "n", "place"])
-
             for node, n, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 first = np.frombuffer(x, np.int64)
                 for at in range(0, len(first), ROWS):
@@ -138,16 +182,23 @@ def prefixes(rows: DataFrame) -> DataFrame:
                     out.append((some, np.full(len(some), node, np.int64), np.full(len(some), n, np.int64), np.arange(at, at + len(some), dtype=np.int64)))
                     held += len(some)
                     if held >= ROWS:
-                        yield made()
+                        yield packed(out)
                         out.clear()
                         held = 0
-            if out:
-                yield made()
+        if out:
+            yield packed(out)
+
+    def met(own: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for x in own.column("packed"):
+            raw = x.as_buffer()
+            k = raw.size // 24
+            for into, kind, at in zip(parts, (np.int64, np.int64, np.uint32, np.uint32), (0, 8 * k, 16 * k, 20 * k)):
+                into.append(np.frombuffer(raw, kind, k, at))
+        key, node, n, place = (np.concatenate(x).astype(np.int64) for x in parts)
+        return pa.table(dict(zip(("key", "node", "n", "place"), map(pa.array, _meeting(key, node, n, place)))))
 
-    each = rows.where("n > 0 and first is not null").select("node", "n", "first").mapInArrow(run, "key long, node long, n long, place long")
-    # counted per task first: a run that a third of all texts begin with is a row a task here, and its texts are dealt out below
-    several = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    return each.join(several, "key").select("key", "node", "n", "place")
+    return whole.mapInArrow(run, "own long, packed binary").groupBy("own").applyInArrow(met, "key long, node long, n long, place long")
 
 
 def parities(runs: np.ndarray) -> np.ndarray:
@@ -176,11 +227,15 @@ def _may(a: str, b: str) -> Column:
 
 
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The pairs a, b whose sets are similar; only sets whose parities allow that go out whole."""
+    named = lambda p: bounded(p.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    bits = rows.where("bits is not null").join(named(pairs), "node", "left_semi").groupBy("node").agg(F.first(F.struct("n", "bits")).alias("own"))
+    own = lambda c, to: bits.select(F.col("node").alias(c), F.col("own").alias(to))
+    long = F.least("x.n", "y.n") * OF >= F.greatest("x.n", "y.n") * ALIKE
+    pairs = stored(pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").where(long & _near("x", "y")).select("a", "b"), "possible")
     # one set a node and task goes out, however many rows have it
-    one = rows.where("runs is not null").groupBy("node").agg(F.first("runs").alias("runs"))
-    whole = stored(one.join(wanted, "node", "left_semi"), "wanted")
+    one = rows.where("runs is not null").join(named(pairs), "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs"))
+    whole = stored(one, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
@@ -193,7 +248,7 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     left = pairs.join(whole.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
     both = left.join(whole.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     found = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "alike")
-    forget(whole)
+    forget(whole, pairs)
     return found
 
 
@@ -201,16 +256,46 @@ def _pairs(one: Column, two: Column) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of met with their roots moved to those of roots, where nodes of several components still meet."""
+    to = roots.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = stored(met.join(to, "root", "left").select("key", "node", "n", "place", F.coalesce("to", "root").alias("root")), "moved")
+    several = moved.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    left = stored(moved.join(several, "key", "left_semi"), "prefixes")
+    forget(moved)
+    return left
+
+
+def near_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints are equal or linked, by multi-index hashing: of each linked fingerprint two at most, the first and
+    the last of its links in an order of their hashes."""
+    nodes = stored(rows.where("n > 0").select("fp", "node").distinct(), "nodes")
+    fps = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = nodes.join(fps, "fp").where("node != least").select(*_pairs(F.col("least"), F.col("node")))
+    linked = stored(simhash.links(fps.select("fp"), RADIUS, simhash.segments_for(fps.count())), "linked")
+    ends = linked.union(linked.select("b", "a")).groupBy("a").agg(*[f(F.struct(F.xxhash64("b").alias("h"), "b"))["b"].alias(c) for f, c in ((F.min, "h0"), (F.max, "h1"))])
+    two = ends.select("a", F.explode(F.array("h0", "h1")).alias("b")).select(*_pairs(F.col("a"), F.col("b"))).distinct()
+    least = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    across = two.join(least("a"), "a").join(least("b"), "b").where("a_node != b_node").select(*_pairs(F.col("a_node"), F.col("b_node")))
+    found = stored(same.union(across).distinct(), "near")
+    forget(nodes, fps, linked)
+    return found
+
+
 def links(rows: DataFrame) -> DataFrame:
     """Pairs a, b of similar nodes that connect all that are connected.
 
-    In each turn every run that nodes of several components have names two of them, the smallest and the largest first and then the ends of an
-    order drawn anew, and all others are compared with these: no more than twice as many pairs as rows. Of a run that three nodes or fewer
-    have these are all pairs, and it is done; so are most runs that texts share by chance. Turns go on while a WORTH of the pairs or
+    Those that fingerprints name come first; runs that only nodes of one component have are done. Then, in each turn, every run that nodes
+    of several components have names two of them, the smallest and the largest first and then the ends of an order drawn anew, and all
+    others are compared with these: no more than twice as many pairs as rows. Of a run that three nodes or fewer have these are all pairs, and it is done; so are most runs that texts share by chance. Turns go on while a WORTH of the pairs or
     more are similar, so that near copies of each other become one component without all their pairs. Then all that meet in different
     components, whose parities allow the similarity, and that weren't compared are."""
-    met = stored(prefixes(rows).withColumn("root", F.col("node")), "prefixes")
-    tested, found = [], []
+    tested = [near_fingerprints(rows)]
+    found = [_alike(tested[0], rows)]
+    roots = components(found[0])
+    all_met = stored(prefixes(rows), "prefixes")
+    met = _open(all_met.withColumn("root", F.col("node")), roots)
+    forget(all_met, roots)
     turn = 0
     while True:
         order = F.struct("n", "node", "place", "root") if not turn else F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "n", "node", "place", "root")
@@ -224,19 +309,13 @@ def links(rows: DataFrame) -> DataFrame:
         tested.append(star)
         found.append(_alike(star, rows))
         tried, linked = star.count(), found[-1].count()
-        by_root = found[-1]
-        if turn:  # components of components: what was found before is in the roots
-            own = met.select("node", "root").distinct()
-            by_root = by_root.join(own.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-            by_root = by_root.select(F.col("x").alias("a"), F.col("y").alias("b"))
-        roots = components(by_root)
-        # a node may come from several tasks, so that a run may have more rows than nodes, never fewer
+        # components of components: what was found before is in the roots
+        own = met.select("node", "root").distinct()
+        by_root = found[-1].join(own.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        roots = components(by_root.select(F.col("x").alias("a"), F.col("y").alias("b")))
         open_ = met.join(hubs.where("size > 3").select("key"), "key", "left_semi")
-        moved = open_.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", "node", "n", "place", F.coalesce("to", "root").alias("root"))
-        moved = stored(moved, "moved")
-        several = moved.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        left = stored(moved.join(several, "key", "left_semi"), "prefixes")
-        forget(met, moved, roots, hubs)
+        left = _open(open_, roots)
+        forget(met, roots, hubs)
         met = left
         turn += 1
         if linked < WORTH * tried or not tried:

@@ -42,13 +42,21 @@ def fingerprint(raw: bytes, shingle: int) -> int:
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths)[: n - shingle + 1], ends[shingle - 1 :]
-    ones = np.zeros(BITS, np.int64)
+    each = []
     for at in range(0, len(starts), BLOCK):
         spans = map(slice, starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist())
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(SEED)), np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts), bitorder="little").tobytes(), "little")
+        each.append(np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(SEED)), np.uint64))
+    return majority(each)
+
+
+def majority(blocks: list[np.ndarray]) -> int:
+    """The SimHash of features' hashes: the bits that over half of them have; of none zero."""
+    ones = np.zeros(BITS, np.int64)
+    for hashes in blocks:
+        for at in range(0, len(hashes), BLOCK):
+            bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > sum(map(len, blocks)), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataFrame:

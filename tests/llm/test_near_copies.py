@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessella.llm import near_copies
 
@@ -55,3 +57,29 @@ def test_rounds_agree(spark):
 
 def test_order_is_no_matter():
     assert len(near_copies.runs(b"A b  c\td e F g")) == 3 and len(near_copies.runs(b"a B")) == 1 and not len(near_copies.runs(b" \n"))
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """Texts that differ by a word of many are linked by their fingerprints, before any runs are met."""
+    words = [str(k * k) for k in range(4000)]
+    texts = [(k, " ".join([*words[:500], f"x{k}", *words[500:]])) for k in range(6)] + [(9, "of another kind")]
+    rows = near_copies.sets(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    node = {r.doc_id: r.node for r in rows.collect()}
+    linked = near_copies.simhash.components(near_copies._alike(near_copies.near_fingerprints(rows), rows)).collect()
+    assert {r.node for r in linked} == {node[k] for k in range(6)} and len({r.root for r in linked}) == 1
+    want = near_copies.simhash.fingerprint(texts[0][1].encode(), near_copies.SHINGLE)
+    assert rows.where("doc_id = 0").first().fp % 2**64 == want
+
+
+def test_meeting_rows_are_those_of_pairs_that_may_be_similar():
+    draw = np.random.default_rng(3)
+    for sets, keys in ((40, 30), (300, 4)):  # keys that few have and that more than FEW have
+        rows = [(k, s) for s in range(sets) for k in draw.choice(keys, 3)]
+        key, node = (np.array(x) for x in zip(*rows))
+        n = draw.integers(1, 60, sets)[node]
+        place = draw.integers(0, n // 5 + 1)
+        got = set(zip(*(x.tolist() for x in near_copies._meeting(key, node, n, place)[:2])))
+        may = lambda i, j: key[i] == key[j] and node[i] != node[j] and min(n[i] - place[i], n[j] - place[j]) * 9 >= (n[i] + n[j]) * 4
+        first = {(int(key[i]), int(node[i])): i for i in reversed(range(len(rows)))}
+        want = {r for r, i in first.items() if any(may(i, j) for j in first.values())}
+        assert want == got if sets == 40 else want <= got
