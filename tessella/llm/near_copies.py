@@ -8,7 +8,7 @@ thousands of probes a fingerprint or buckets that grow with the corpus (README),
 That goes by prefix filtering: two sets that similar share a run among the first (1 - ALIKE / OF) * n + 1 of each, in any order
 common to all sets; the order here puts runs that few texts have first, by counts in SLOTS slots, which bear on the cost only.
 Sets that meet there, whose places allow the similarity and which fingerprints haven't linked, are compared whole: in turns each with
-one set it meets, then all that meet and aren't yet in one component. Linked texts form a component.
+some of those it meets, then all that meet and aren't yet in one component. Linked texts form a component.
 
 Runs meet by 64-bit hashes. What is kept of a whole set, and compared, is 32 bits of each, so that two runs of one text that share
 these count as one: some k**2 / 2**33 of k runs.
@@ -41,8 +41,8 @@ RADIUS = 4
 SLOTS, CHUNK = 1 << 18, 4096
 #: Runs of prefixes that a task packs at a time and that are met in one group, on average; how many of one run are compared pair by pair.
 ROWS, FEW = 1 << 18, 32
-#: Nodes that a task remembers; the share of a turn's pairs that must be similar for another turn.
-MET, WORTH = 1 << 20, 0.25
+#: Nodes that a task remembers; times as many nodes that a run names in the next turn.
+MET, MORE = 1 << 20, 8
 #: Numbers of parities at most.
 WIDE = 256
 
@@ -226,15 +226,22 @@ def _may(a: str, b: str) -> Column:
     return F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) * (ALIKE + OF) >= (n + m) * ALIKE
 
 
-def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar; only sets whose parities allow that go out whole."""
-    named = lambda p: bounded(p.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    bits = rows.where("bits is not null").join(named(pairs), "node", "left_semi").groupBy("node").agg(F.first(F.struct("n", "bits")).alias("own"))
+def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs a, b whose sizes and parities allow that their sets are similar."""
+    names = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "names")
+    bits = rows.where("bits is not null").join(bounded(names), "node", "left_semi").groupBy("node").agg(F.first(F.struct("n", "bits")).alias("own"))
     own = lambda c, to: bits.select(F.col("node").alias(c), F.col("own").alias(to))
     long = F.least("x.n", "y.n") * OF >= F.greatest("x.n", "y.n") * ALIKE
-    pairs = stored(pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").where(long & _near("x", "y")).select("a", "b"), "possible")
+    found = stored(pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").where(long & _near("x", "y")).select("a", "b"), "possible")
+    forget(names)
+    return found
+
+
+def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are similar."""
+    names = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "names")
     # one set a node and task goes out, however many rows have it
-    one = rows.where("runs is not null").join(named(pairs), "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs"))
+    one = rows.where("runs is not null").join(bounded(names), "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs"))
     whole = stored(one, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +255,7 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     left = pairs.join(whole.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
     both = left.join(whole.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     found = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "alike")
-    forget(whole, pairs)
+    forget(whole, names)
     return found
 
 
@@ -259,13 +266,20 @@ def _pairs(one: Column, two: Column) -> list[Column]:
 def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of met with their roots moved to those of roots, where nodes of several components still meet."""
     to = roots.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    moved = stored(met.join(to, "root", "left").select("key", "node", "n", "place", F.coalesce("to", "root").alias("root")), "moved")
+    moved = stored(met.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "moved")
     several = moved.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     left = stored(moved.join(several, "key", "left_semi"), "prefixes")
     forget(moved)
     return left
 
 
+def _joined(found: DataFrame, met: DataFrame) -> DataFrame:
+    """node, root: the roots of met as the pairs found connect them, each with its component's."""
+    own = met.select("node", "root").distinct()
+    x, y = (own.select(F.col("node").alias(c), F.col("root").alias(to)) for c, to in (("a", "x"), ("b", "y")))
+    return components(found.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def near_fingerprints(rows: DataFrame) -> DataFrame:
     """Pairs a, b of nodes whose fingerprints are equal or linked, by multi-index hashing: of each linked fingerprint two at most, the first and
     the last of its links in an order of their hashes."""
@@ -285,51 +299,68 @@ def near_fingerprints(rows: DataFrame) -> DataFrame:
 def links(rows: DataFrame) -> DataFrame:
     """Pairs a, b of similar nodes that connect all that are connected.
 
-    Those that fingerprints name come first; runs that only nodes of one component have are done. Then, in each turn, every run that nodes
-    of several components have names two of them, the smallest and the largest first and then the ends of an order drawn anew, and all
-    others are compared with these: no more than twice as many pairs as rows. Of a run that three nodes or fewer have these are all pairs, and it is done; so are most runs that texts share by chance. Turns go on while a WORTH of the pairs or
-    more are similar, so that near copies of each other become one component without all their pairs. Then all that meet in different
-    components, whose parities allow the similarity, and that weren't compared are."""
+    Those that fingerprints name come first; runs that only nodes of one component have are done. Then every run that nodes of several
+    components have names two of them, the smallest and the largest, and all others are compared with these. Of a run that three nodes or
+    fewer have these are all pairs, and it is done; so are most runs that texts share by chance.
+
+    What is left goes with its parities, in turns: each run names some of its nodes, in an order drawn anew that is the same for all
+    runs, and those of other components whose parities allow the similarity are compared with these. What is found similar becomes one
+    component before the next turn, which names MORE times as many; so near copies of each other cost a few pairs a node, not all their
+    pairs, however many dissimilar sets share their runs. Turns end when no run has over FEW nodes, or when as many pairs as in the last
+    turn from all nodes would be fewer than rows. Then all that meet in different components and weren't compared are."""
     tested = [near_fingerprints(rows)]
-    found = [_alike(tested[0], rows)]
+    found: list[DataFrame] = []
+
+    def compared(pairs: DataFrame, told: bool) -> int:
+        """How many of the pairs weren't compared before; they are now. told: their parities allow it."""
+        for known in tested:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        tested.append(stored(pairs, "star"))
+        possible = tested[-1] if told else _possible(tested[-1], rows)
+        found.append(_alike(possible, rows))
+        if not told:
+            forget(possible)
+        return tested[-1].count()
+
+    first = _possible(tested[0], rows)
+    found.append(_alike(first, rows))
     roots = components(found[0])
     all_met = stored(prefixes(rows), "prefixes")
     met = _open(all_met.withColumn("root", F.col("node")), roots)
-    forget(all_met, roots)
-    turn = 0
+    forget(first, all_met, roots)
+
+    order = F.struct("n", "node", "place", "root")
+    hubs = stored(met.groupBy("key").agg(F.min(order).alias("h0"), F.max(order).alias("h1"), F.count("*").alias("size")), "hubs")
+    star = met.withColumn("own", F.struct("n", "place")).join(hubs.select("key", F.explode(F.array("h0", "h1")).alias("hub")), "key")
+    star = star.where(F.col("hub.root") != F.col("root")).where(_may("hub", "own")).select(*_pairs(F.col("hub.node"), F.col("node"))).distinct()
+    compared(star, False)
+    roots = _joined(found[-1], met)
+    left = _open(met.join(hubs.where("size > 3").select("key"), "key", "left_semi"), roots)
+    forget(met, roots, hubs)
+
+    bits = rows.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
+    wide = stored(left.join(bits, "node"), "parities")
+    forget(left)
+    turn, many = 1, 2
+    may = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _may("a", "b") & _near("a", "b")
+    ends = _pairs(F.col("a.node"), F.col("b.node"))
     while True:
-        order = F.struct("n", "node", "place", "root") if not turn else F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "n", "node", "place", "root")
-        ends = met.groupBy("key").agg(F.min(order).alias("h0"), F.max(order).alias("h1"), F.count("*").alias("size"))
-        hubs = stored(ends.select("key", "size", *[F.struct(f"{h}.n", f"{h}.node", f"{h}.place", f"{h}.root").alias(h) for h in ("h0", "h1")]), "hubs")
-        star = met.withColumn("own", F.struct("n", "place")).join(hubs.select("key", F.explode(F.array("h0", "h1")).alias("hub")), "key")
-        star = star.where(F.col("hub.root") != F.col("root")).where(_may("hub", "own")).select(*_pairs(F.col("hub.node"), F.col("node"))).distinct()
-        for known in tested:
-            star = star.join(known, ["a", "b"], "left_anti")
-        star = stored(star, "star")
-        tested.append(star)
-        found.append(_alike(star, rows))
-        tried, linked = star.count(), found[-1].count()
-        # components of components: what was found before is in the roots
-        own = met.select("node", "root").distinct()
-        by_root = found[-1].join(own.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        roots = components(by_root.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        open_ = met.join(hubs.where("size > 3").select("key"), "key", "left_semi")
-        left = _open(open_, roots)
-        forget(met, roots, hubs)
-        met = left
-        turn += 1
-        if linked < WORTH * tried or not tried:
+        sizes = wide.groupBy("key").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+        if (sizes["most"] or 0) <= FEW or many >= sizes["most"]:
             break
-    bits = rows.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
-    wide = stored(met.join(bits, "node"), "parities")
-    a, b = wide.alias("a"), wide.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.struct("a.n", "a.node") < F.struct("b.n", "b.node")) & (F.col("a.root") != F.col("b.root")) & _may("a", "b") & _near("a", "b"))
-    rest = rest.select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct()
-    for known in tested:
-        rest = rest.join(known, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    found.append(_alike(rest, rows))
-    forget(met, wide, rest, *tested)
+        # one of each part of a run's nodes, so that partial aggregates choose them
+        hub = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "place", "root", "bits")
+        hubs = wide.groupBy("key", F.pmod(F.xxhash64(F.lit(-turn), "node"), F.lit(many)).alias("part")).agg(F.min(hub).alias("hub")).select("key", "hub.*")
+        tried = compared(hubs.alias("a").join(wide.alias("b"), may).select(*ends).distinct(), True)
+        roots = _joined(found[-1], wide)
+        left = _open(wide, roots)
+        forget(wide, roots)
+        wide = left
+        if tried * sizes["most"] <= many * sizes["all"]:
+            break
+        turn, many = turn + 1, many * MORE
+    compared(wide.alias("a").join(wide.alias("b"), may & (F.struct("a.n", "a.node") < F.struct("b.n", "b.node"))).select(*ends).distinct(), True)
+    forget(wide, *tested)
     return reduce(DataFrame.unionAll, found)
 
 

@@ -55,6 +55,35 @@ def test_rounds_agree(spark):
     assert sorted(kept(docs)) == sorted(brute_kept(texts))
 
 
+def test_a_group_of_near_copies_costs_a_few_pairs_a_set(spark, monkeypatch):
+    """Two groups of similar sets meet at one run, whose smallest and largest set are similar to none and whose fingerprints are far apart."""
+    draw, made, compared = np.random.default_rng(11), [], []
+    one, two = draw.permutation(1000)[:400].reshape(2, 200) * 1_000_003
+    own = iter(range(3_000_000_000, 4_000_000_000, 7919))
+    kinds = [(one, 190, 200)] * 120 + [(two, 190, 200)] * 40 + [(one, 150, 190), (two, 150, 210)]
+    for node, (whole, of, n) in enumerate(kinds):
+        x = np.sort(np.array([*draw.choice(whole, of, replace=False), *(next(own) for _ in range(n - of))], np.uint32))
+        made.append((node, n, x.tobytes(), np.array([7], np.int64).tobytes(), near_copies.parities(x).tolist(), int(draw.integers(-(2**63), 2**63 - 1))))
+    rows = spark.createDataFrame(made, "node long, n long, runs binary, first binary, bits array<long>, fp long").cache()
+    whole = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, rows: compared.append(pairs.count()) or whole(pairs, rows))
+    got = {frozenset((r.a, r.b)) for r in near_copies.links(rows).collect()}
+    each = [set(np.frombuffer(r[2], np.uint32).tolist()) for r in made]
+    want = list(range(len(made)))
+    for i, x in enumerate(each):
+        for j in range(i):
+            if 5 * len(x & each[j]) >= 4 * len(x | each[j]):
+                want = [want[j] if o == want[i] else o for o in want]
+            else:
+                assert frozenset((i, j)) not in got
+    linked = list(range(len(made)))
+    for i, j in map(tuple, got):
+        linked = [linked[j] if o == linked[i] else o for o in linked]
+    parts = lambda roots: {frozenset(i for i, o in enumerate(roots) if o == root) for root in roots}
+    assert parts(linked) == parts(want)
+    assert sum(compared) < 10 * len(made)
+
+
 def test_order_is_no_matter():
     assert len(near_copies.runs(b"A b  c\td e F g")) == 3 and len(near_copies.runs(b"a B")) == 1 and not len(near_copies.runs(b" \n"))
 
