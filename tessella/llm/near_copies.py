@@ -6,7 +6,7 @@ checked by their sets and linked. At this similarity fingerprints differ by abou
 thousands of probes a fingerprint or buckets that grow with the corpus (README), so that an exact check of the rest follows.
 
 That goes by prefix filtering: two sets that similar share a run among the first (1 - ALIKE / OF) * n + 1 of each, in any order
-common to all sets; the order here puts runs that few texts have first, by counts in SLOTS slots, which bear on the cost only.
+common to all sets; the order here puts runs that many sets have last, by counts in windows of WINDOW runs, which bear on the cost only.
 Sets that meet there, whose places allow the similarity and which fingerprints haven't linked, are compared whole: in turns each with
 some of those it meets, then all that meet and aren't yet in one component. Linked texts form a component.
 
@@ -37,8 +37,8 @@ SHINGLE = 5
 ALIKE, OF = 4, 5
 #: Bits by which fingerprints are linked.
 RADIUS = 4
-#: Counters of runs, numbers in a row of them.
-SLOTS, CHUNK = 1 << 18, 4096
+#: Runs that a task counts at a time; how often one occurs among them to be noted; how many are listed as frequent.
+WINDOW, OFTEN, LISTED = 1 << 21, 3, 1 << 18
 #: Runs of prefixes that a task packs at a time and that are met in one group, on average; how many of one run are compared pair by pair.
 ROWS, FEW = 1 << 18, 32
 #: Nodes that a task remembers; times as many nodes that a run names in the next turn.
@@ -76,34 +76,68 @@ def _row(text: str) -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), raw_text(text))
 
 
-def _levels(docs: DataFrame, text: str) -> np.ndarray:
-    """How often each slot's runs occur in all texts, as a power of two."""
-    shape = "chunk int, n array<long>"
+def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of runs that many sets have, and in how many, as a power of two. A run counts where a window has it OFTEN or more
+    times, so that what goes out follows the runs that are shared, and one in f of w windows' sets is found where f**OFTEN is some w**(OFTEN - 1)
+    or more. Of more than LISTED those of the greatest powers are listed."""
+
+    def noted(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(held)
+        x.sort()
+        starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        n = np.diff(np.append(starts, len(x)))
+        many = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(x[starts[many]].view(np.int64)), pa.array(n[many])], names=["run", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        met: set[int] = set()
+        out: list[np.ndarray] = []
+        held = 0
         for part in sliced(batches):
             for raw in part.column(0).to_pylist():
-                counts += np.bincount((runs(raw) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        if counts.any():
-            table = [(k, counts[k * CHUNK : (k + 1) * CHUNK].tolist()) for k in range(SLOTS // CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in table], pa.int32()), pa.array([x for _, x in table], pa.list_(pa.int64()))], names=["chunk", "n"])
+                x = runs(raw)
+                node = xxhash.xxh64_intdigest(x.tobytes(), SEED)
+                if not len(x) or node in met:
+                    continue
+                met.add(node)
+                out.append(x)
+                held += len(x)
+                if held >= WINDOW:
+                    yield noted(out)
+                    met.clear()
+                    out.clear()
+                    held = 0
+        if out:
+            yield noted(out)
+
+    counted = docs.select(raw_text(text)).mapInArrow(run, "run long, n long").groupBy("run").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+    counts = stored(counted, "counts")
+    least, all_listed = 64, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # 64 rows at most
+        if (all_listed := all_listed + r["count"]) > LISTED:
+            break
+        least = r["level"]
+    listed = counts.where(F.col("level") >= least).toArrow()  # LISTED rows at most
+    forget(counts)
+    run_, level = listed.column("run").to_numpy().view(np.uint64), listed.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(run_)
+    return run_[order], level[order]
 
-    def added(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": own["chunk"].iloc[:1], "n": [np.sum(np.stack(own["n"].to_numpy()), axis=0)]})
 
-    counts = np.zeros(SLOTS, np.int64)
-    made = docs.select(raw_text(text)).mapInArrow(run, shape)
-    for r in made.groupBy("chunk").applyInPandas(added, shape).collect():  # SLOTS numbers
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r["n"]
-    return np.log2(counts + 1).astype(np.uint8)
+def _level(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The levels of sorted hashes; of one that isn't listed zero."""
+    run, level = frequent
+    if not len(run):
+        return np.zeros(len(x), np.uint8)
+    at = np.minimum(np.searchsorted(run, x), len(run) - 1)
+    return np.where(run[at] == x, level[at], 0)
 
 
 def sets(docs: DataFrame, text: str = "text") -> DataFrame:
     """row, doc_id, node (a number for each set), n (its size), fp (the SimHash fingerprint) of every row; runs (32 bits of each run's hash), first (the whole hashes of
     those by which similar sets meet, in their order) and bits (parities) once at least for each node, else null: a task that met a node
     before leaves them out."""
-    shared = docs.sparkSession.sparkContext.broadcast(_levels(docs, text))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -119,8 +153,7 @@ def sets(docs: DataFrame, text: str = "text") -> DataFrame:
                 if len(met) == MET:
                     met.clear()
                 met.add(node)
-                level = shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]
-                first = x[np.argsort(level, kind="stable")[: n - -(-ALIKE * n // OF) + 1]]
+                first = x[np.argsort(_level(x, shared.value), kind="stable")[: n - -(-ALIKE * n // OF) + 1]]
                 short = np.unique(x.astype(np.uint32))
                 rows.append((node, n, short.tobytes(), first.tobytes(), parities(short), fp))
             node = np.array([r[0] for r in rows], np.uint64).view(np.int64)
@@ -338,29 +371,33 @@ def links(rows: DataFrame) -> DataFrame:
     left = _open(met.join(hubs.where("size > 3").select("key"), "key", "left_semi"), roots)
     forget(met, roots, hubs)
 
-    bits = rows.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
-    wide = stored(left.join(bits, "node"), "parities")
-    forget(left)
+    # parities once a node; a row for each run and node has them within a turn only
+    names = stored(left.select("node").distinct(), "names")
+    bits = stored(rows.where("bits is not null").join(bounded(names), "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits")), "bits")
+    forget(names)
     turn, many = 1, 2
     may = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _may("a", "b") & _near("a", "b")
     ends = _pairs(F.col("a.node"), F.col("b.node"))
     while True:
-        sizes = wide.groupBy("key").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+        sizes = left.groupBy("key").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
         if (sizes["most"] or 0) <= FEW or many >= sizes["most"]:
             break
+        wide = stored(left.join(bits, "node"), "parities")
         # one of each part of a run's nodes, so that partial aggregates choose them
         hub = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "place", "root", "bits")
         hubs = wide.groupBy("key", F.pmod(F.xxhash64(F.lit(-turn), "node"), F.lit(many)).alias("part")).agg(F.min(hub).alias("hub")).select("key", "hub.*")
         tried = compared(hubs.alias("a").join(wide.alias("b"), may).select(*ends).distinct(), True)
-        roots = _joined(found[-1], wide)
-        left = _open(wide, roots)
-        forget(wide, roots)
-        wide = left
+        forget(wide)
+        roots = _joined(found[-1], left)
+        still = _open(left, roots)
+        forget(left, roots)
+        left = still
         if tried * sizes["most"] <= many * sizes["all"]:
             break
         turn, many = turn + 1, many * MORE
+    wide = stored(left.join(bits, "node"), "parities")
     compared(wide.alias("a").join(wide.alias("b"), may & (F.struct("a.n", "a.node") < F.struct("b.n", "b.node"))).select(*ends).distinct(), True)
-    forget(wide, *tested)
+    forget(wide, left, bits, *tested)
     return reduce(DataFrame.unionAll, found)
 
 

@@ -112,3 +112,41 @@ def test_meeting_rows_are_those_of_pairs_that_may_be_similar():
         first = {(int(key[i]), int(node[i])): i for i in reversed(range(len(rows)))}
         want = {r for r, i in first.items() if any(may(i, j) for j in first.values())}
         assert want == got if sets == 40 else want <= got
+
+
+def test_runs_that_sets_share_come_last(spark):
+    """Among two million runs passages that four texts share are told from runs that one has, so that no texts meet by them."""
+    draw = np.random.default_rng(7)
+    texts = []
+    for k in range(400):
+        if k % 4 == 0:
+            passage = " ".join(map(str, draw.integers(0, 2**40, 204)))
+        own = list(map(str, draw.integers(0, 2**40, 5000)))
+        texts.append((k, " ".join([*own[:2500], passage, *own[2500:]])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).cache()
+    assert near_copies.prefixes(near_copies.sets(docs)).count() == 0
+    docs.unpersist()
+
+
+def test_frequent_runs_are_those_of_many_sets(spark, monkeypatch):
+    texts = [(k, f"a b c d e {k}") for k in range(9)] + [(9 + k, "v w x y z") for k in range(50)]  # equal sets count once
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    run, level = near_copies._frequent(docs, "text")
+    shared, other = near_copies.runs(b"a b c d e"), near_copies.runs(b"v w x y z")
+    assert run.tolist() == shared.tolist() and level.tolist() == [3]
+    assert near_copies._level(np.sort(np.concatenate([shared, other])), (run, level)).sum() == 3
+    monkeypatch.setattr(near_copies, "LISTED", 0)
+    assert not len(near_copies._frequent(docs, "text")[0]) and not near_copies._level(shared, near_copies._frequent(docs, "text")).any()
+
+
+def test_rows_of_runs_are_kept_without_parities(spark, monkeypatch):
+    """Between turns a set's parities aren't written with each of its runs."""
+    draw, kept_with, whole = np.random.default_rng(2), {}, near_copies.stored
+    made = []
+    for node in range(100):
+        x = np.sort(draw.choice(2**32 - 1, 100, replace=False).astype(np.uint32))
+        made.append((node, 100, x.tobytes(), np.array([7], np.int64).tobytes(), near_copies.parities(x).tolist(), int(draw.integers(-(2**63), 2**63 - 1))))
+    rows = spark.createDataFrame(made, "node long, n long, runs binary, first binary, bits array<long>, fp long").cache()
+    monkeypatch.setattr(near_copies, "stored", lambda df, tag: kept_with.setdefault(tag, []).append("bits" in df.columns) or whole(df, tag))
+    assert not near_copies.links(rows).count()
+    assert any(kept_with["parities"]) and not any(kept_with["moved"] + kept_with["prefixes"])
